@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statsift.llm import licenses, media, near_dedup, packing, quality, sharding, token_counts, token_files, transducer
+from statsift.llm import licenses, media, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files, transducer
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), width=1024, end_id=0)
 
@@ -61,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """``opN_<name>`` of each operator of this subpackage."""
-    return {f.__name__: f for f in (op2_packing, op3_minhash_near_dedup, op4_license_scan, op5_sharding, op6_quality_rules, op7_bpe_transducer, op8_media_columns, op9_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_minhash_near_dedup, op4_license_scan, op5_sharding, op6_quality_rules, op7_bpe_transducer, op8_media_columns, op9_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
