@@ -7,12 +7,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from helpers import DATA, TABLES
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
@@ -40,11 +39,3 @@ def duck():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     return con
 
-
-def canonical(df) -> list[tuple]:
-    """Rows of a pandas frame in an order and form that do not depend on the engine."""
-    import pandas as pd
-
-    df = df[sorted(df.columns)].astype(object)
-    plain = lambda v: None if v is None or (not isinstance(v, (list, tuple)) and pd.isna(v)) else round(float(v), 6) if isinstance(v, float) else v
-    return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=lambda r: tuple((x is None, str(x)) for x in r))

@@ -1,7 +1,7 @@
 """Every query with SQL gives what DuckDB gives; the others give rows."""
 
 import pytest
-from conftest import DATA, canonical
+from helpers import DATA, canonical
 
 from statsift.queries import QUERIES, SQL
 
