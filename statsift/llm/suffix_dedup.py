@@ -351,7 +351,7 @@ def _single_windows(batch: pa.RecordBatch, length: int) -> pa.Table:
         for i in range(len(data) - length + 1):
             keys.append(xxhash.xxh3_128_digest(data[i : i + length]))
             rows.append(k)
-            places.append(packed + (i << 31))
+            places.append((packed & ~0x7F) + (i << 31) + 1)
     both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
     return pa.table({"anchor": both[:, 0].copy(), "segment": both[:, 1].copy(), "doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "packed": pa.array(places, pa.int64()), "again": pa.array([False] * len(rows))})
 
