@@ -71,10 +71,10 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     held = rows.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
     texts = held.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("pick"))).select(F.col("miss").alias("digest"), "text")
     counted = texts.mapInArrow(c.per_batch(_count, path=path), "digest binary, n_tokens bigint")
+    counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # a row that occurs twice was encoded twice
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
 
-    # ids that occur twice may have counted one digest twice
-    counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two jobs may have appended the same
     sized = keyed.select("doc_id", "digest", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     return sized.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("digest")
