@@ -28,8 +28,9 @@ from statsift.llm import _common as c
 from statsift.llm._tokens import encoder
 
 WIDTH = 1024
-#: Ranks within a length are counted in so many parts, so that no part holds a large share of all rows.
-PARTS = 256
+#: Ranks within a length are counted in so many parts, so that no part holds a large
+#: share of all rows; whole pieces, which are most of them, in more.
+PARTS, WHOLE_PARTS = 64, 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -115,9 +116,10 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = 0, id_col
     documents are encoded when this is called; the pieces are a written table."""
     rows = c.pick(docs, doc_id=id_col, text=text_col)
     pieces = c.cut(rows.mapInArrow(c.per_batch(_pieces, path=path, width=width, end_id=end_id), PIECES), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS))
+    parts = F.when(F.col("length") == width, WHOLE_PARTS).otherwise(PARTS)
+    part = F.pmod(F.xxhash64("doc_id", "start"), parts)
     counts = pieces.groupBy("length", part.alias("part")).agg(F.count("*").alias("n"))
-    counts = c.cut(counts, "piece-counts")  # at most width x PARTS rows
+    counts = c.cut(counts, "piece-counts")  # at most (width - 1) x PARTS + WHOLE_PARTS rows
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = places(pack_histogram(histogram, width))
 
