@@ -135,5 +135,5 @@ def scan(docs: DataFrame, own: tuple[Template, ...] = OWN, base: tuple[Template,
         F.array_max(at).cast("long").alias("last_word"),
         labels(pairs[: len(base)]).alias("base_labels"),
         labels(pairs).alias("labels"),
-        F.least(F.lit(1.0), F.greatest(*(likeness(t, n) for t, n in pairs))).alias("score"),
+        F.round(F.least(F.lit(1.0), F.greatest(*(likeness(t, n) for t, n in pairs))), 6).alias("score"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from statsift.llm import licenses, media, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files, transducer
+from statsift.llm.oracles import ORACLES
 
 
 def vocabulary(name: str) -> str:
@@ -70,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return dict(ORACLES)
