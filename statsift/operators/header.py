@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from statsift.functions.cells import is_data_row, is_numeric_cell, normalised_name, trimmed
 from statsift.vocabulary import Vocabulary
@@ -39,20 +38,22 @@ def is_key_value(line: Column) -> Column:
     return F.coalesce(~line.contains("\t") & (line.rlike(r"^\s*[^\s=]+\s*=\s*\S") | line.rlike(r"^\s*[^\s:]+: \s*\S")), F.lit(False))
 
 
-@F.udf(T.ArrayType(T.StringType()))
-def _quoted_cells(line: str, delimiter: str) -> list[str]:
-    """The cells of a line with quotes; other lines are split by Spark itself."""
-    import csv
-
-    return [x.strip() for x in next(csv.reader([line], delimiter=delimiter, skipinitialspace=True), [])]
+def _quoted_cells(line: Column, delimiter: str) -> Column:
+    """Cells of a line in which some stand in quotes; a doubled quote is one."""
+    d = "\\Q" + delimiter + "\\E"
+    found = F.regexp_extract_all(line, F.lit(rf'(?:^|{d})[ ]*("(?:[^"]|"")*"|[^{delimiter}]*)'), F.lit(1))
+    bare = lambda x: F.when(x.rlike('(?s)^".*"$') & (F.length(x) > 1), F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x)
+    return F.transform(found, lambda x: trimmed(bare(trimmed(x))))
 
 
 def split_line(line: Column, delimiter: Column) -> Column:
     """Cells of a line, trimmed; runs of spaces are one delimiter."""
-    spaced = F.split(trimmed(line), r"\s+")
-    plain = F.transform(F.split(line, F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E"))), trimmed)
-    quoted = line.contains('"')
-    return F.when(delimiter == " ", spaced).when(quoted, _quoted_cells(F.when(quoted, line).otherwise(""), delimiter)).otherwise(plain)
+    out = F.split(trimmed(line), r"\s+")
+    for d in DELIMITERS:
+        if d != " ":
+            plain = F.transform(F.split(line, "\\Q" + d + "\\E"), trimmed)
+            out = F.when(delimiter == d, F.when(line.contains('"'), _quoted_cells(line, d)).otherwise(plain)).otherwise(out)
+    return out
 
 
 def with_delimiters(lines: DataFrame, column: str = "delimiter") -> DataFrame:
