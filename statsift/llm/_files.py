@@ -30,7 +30,10 @@ def whole_file(uri: str, name: str) -> Iterator:
     try:
         with system.open_output_stream(early) as out:
             yield out
-        system.move(early, f"{folder}/{name}")
+        if system.get_file_info(f"{folder}/{name}").type == fs.FileType.File:
+            system.delete_file(early)  # another attempt of the task was first, with the same bytes
+        else:
+            system.move(early, f"{folder}/{name}")
     except BaseException:
         with contextlib.suppress(OSError):
             system.delete_file(early)
