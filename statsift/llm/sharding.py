@@ -24,6 +24,8 @@ from statsift.llm import _common as c
 
 SLOTS = 8192
 OVERHEAD = 16
+#: Last moves a shard at most, when a map is evened out.
+POLISH = 4
 
 
 def first_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -36,7 +38,7 @@ def rebalance(mapping: list[int], sizes: list[int], shards: int) -> list[int]:
 
     Shards above the mean give up slots, the largest that leave them above it
     first, then their smallest; the freed slots go, largest first, each to the
-    shard that is then the smallest."""
+    shard that is then the smallest; a few single moves follow."""
     new, held, total = list(mapping), [[] for _ in range(shards)], [0] * shards
     for slot, shard in enumerate(mapping):
         if sizes[slot]:
@@ -61,6 +63,23 @@ def rebalance(mapping: list[int], sizes: list[int], shards: int) -> list[int]:
         t, shard = heapq.heappop(heap)
         new[slot] = shard
         heapq.heappush(heap, (t + sizes[slot], shard))
+    # then single slots from the largest shard to the smallest, as long as that helps
+    held, total = [set() for _ in range(shards)], [0] * shards
+    for slot, shard in enumerate(new):
+        if sizes[slot]:
+            held[shard].add(slot)
+            total[shard] += sizes[slot]
+    for _ in range(POLISH * shards):
+        large, small = total.index(max(total)), total.index(min(total))
+        gap = total[large] - total[small]
+        slot = min((s for s in held[large] if sizes[s] < gap), key=lambda s: (abs(2 * sizes[s] - gap), s), default=None)
+        if slot is None:
+            break
+        held[large].remove(slot)
+        held[small].add(slot)
+        total[large] -= sizes[slot]
+        total[small] += sizes[slot]
+        new[slot] = small
     return new
 
 
