@@ -75,6 +75,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
 
     counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two jobs may have appended the same
+    # as a written table, so that both sides of the join are dealt anew and a text that a third of the rows have can be split
+    counts = c.cut(counts, "counts")
     sized = keyed.select("doc_id", "digest", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     return sized.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("digest")
