@@ -12,12 +12,13 @@ MISSING_IN_HEADERS = ("na", "nan", "n/a", "#na", ".", "-", "null", "none", "")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Fixed value: characters that fold to one underscore in a column name.
 FOLDED = r"""[\s\-\.:;,/\\|()\[\]{}'"`+*#@!?%^&=<>~$]+"""
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 _COMBINING = "[̀-ͯ]"
 
 
 def trimmed(value: Column) -> Column:
     """Without white space at either end (``trim`` alone strips spaces only)."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def is_missing(value: Column) -> Column:
