@@ -39,11 +39,14 @@ def is_key_value(line: Column) -> Column:
 
 
 def _quoted_cells(line: Column, delimiter: str) -> Column:
-    """Cells of a line in which some stand in quotes; a doubled quote is one."""
+    """Cells of a line in which some stand in quotes; a doubled quote is one.
+
+    A quote counts at the start of a cell only; one that is never closed takes the rest of the line."""
     d = "\\Q" + delimiter + "\\E"
-    found = F.regexp_extract_all(line, F.lit(rf'(?:^|{d})[ ]*("(?:[^"]|"")*"|[^{delimiter}]*)'), F.lit(1))
-    bare = lambda x: F.when(x.rlike('(?s)^".*"$') & (F.length(x) > 1), F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x)
-    return F.transform(found, lambda x: trimmed(bare(trimmed(x))))
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf'{d}[ ]*("(?:[^"]++|"")*+(?:"[^{delimiter}]*)?|[^{delimiter}]*)'), F.lit(1))
+    inner = r'(?s)^"((?:[^"]++|"")*+)(?:"(.*))?$'
+    bare = lambda x: F.when(F.startswith(x, F.lit('"')), F.concat(F.regexp_replace(F.regexp_extract(x, inner, 1), '""', '"'), F.regexp_extract(x, inner, 2))).otherwise(x)
+    return F.transform(found, lambda x: trimmed(bare(x)))
 
 
 def split_line(line: Column, delimiter: Column) -> Column:

@@ -76,10 +76,20 @@ _NORMAL = f"regexp_replace(regexp_replace(regexp_replace(lower(x), '{_FOLD}', '_
 )
 def q03_normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: names in their form for comparison, of first lines and part names in ASCII."""
+    both = _names(spark, sf_dir).filter(F.col("x").rlike(r"^[\x00-\x7F]*$"))
+    return both.select("id", cells.normalised_name(F.col("x")).alias("name"))
+
+
+@query()
+def q03_every_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the same of all first lines and part names, in any alphabet."""
+    return _names(spark, sf_dir).select("id", cells.normalised_name(F.col("x")).alias("name"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.element_at(F.split("text", "\n"), 1).alias("x"))
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("x"))
-    both = docs.union(parts).filter(F.col("x").rlike(r"^[\x00-\x7F]*$"))
-    return both.select("id", cells.normalised_name(F.col("x")).alias("name"))
+    return docs.union(parts)
 
 
 _HEADERS = {
@@ -136,9 +146,10 @@ _LINES = """raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM doc
     marked AS (SELECT *, trim(line, ' ' || chr(9)) AS bare, regexp_matches(line, '^\\s*(#|!|;;|//)') AS comment FROM lines)"""
 
 
-def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit('"'))).select(F.col("doc_id").alias("source_id"), "text")
-    return header.explode_lines(docs)
+def _document_lines(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
+    """Lines of documents; those with a quote only where ``quotes``, as the SQL does not split quoted cells."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    return header.explode_lines(docs if quotes else docs.filter(~F.contains("text", F.lit('"'))))
 
 
 @query(
@@ -156,6 +167,12 @@ def q05_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header.detect_delimiter(_document_lines(spark, sf_dir)).withColumnRenamed("source_id", "doc_id")
 
 
+@query()
+def q05_every_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all documents, quoted cells included."""
+    return header.detect_delimiter(_document_lines(spark, sf_dir, quotes=True)).withColumnRenamed("source_id", "doc_id")
+
+
 @query(
     f"""WITH {_LINES}, rows AS (SELECT doc_id, line_idx, len(regexp_split_to_array(bare, '\\s+')) AS fields, bare = '' AS blank, bare <> '' AND NOT comment AS usable,
         len(list_filter(regexp_split_to_array(bare, '\\s+'), lambda v: regexp_matches(v, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$'))) AS numeric FROM marked),
@@ -165,7 +182,16 @@ def q05_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q06_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field counts, numbers, and the arity of the next seven physical lines."""
-    lines = _document_lines(spark, sf_dir)
+    return _look_ahead(_document_lines(spark, sf_dir))
+
+
+@query()
+def q06_every_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all documents, quoted cells included."""
+    return _look_ahead(_document_lines(spark, sf_dir, quotes=True))
+
+
+def _look_ahead(lines: DataFrame) -> DataFrame:
     split = header.split_line(F.col("line"), F.lit(" "))
     blank = cells.trimmed(F.col("line")) == ""
     rows = lines.withColumns({"cells": split, "blank": blank, "usable": ~blank & ~header.is_comment(F.col("line"))}).withColumn("fields", F.size("cells"))
