@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import codecs
 
 from pyspark.sql import functions as F
 
@@ -25,12 +26,18 @@ def main(arguments: list[str] | None = None) -> None:
     spark = session.build()
     if a.command == "extract":
         source, out = a.targets
-        texts = triage.decode_prefixes(triage.probe(spark, [source], a.probe_bytes)).select("source_id", "text")
-        found = header.detect_headers(header.explode_lines(texts))
+        decoded = triage.decode_prefixes(triage.probe(spark, [source], a.probe_bytes))
+        if (how := decoded.select("compression", "encoding").first()) and not extract.can_read(source, how["compression"]):
+            raise SystemExit(f"unsupported_compression: {how['compression']}")
+        if how and how["encoding"].startswith(("utf-16", "utf-32")):
+            raise SystemExit(f"unsupported_encoding: {how['encoding']}")
+        # the prefix alone may be ASCII
+        encoding = "UTF-8" if not how or how["encoding"] in ("ascii", "utf-8", "utf-8-sig") else codecs.lookup(how["encoding"]).name
+        found = header.detect_headers(header.explode_lines(decoded.select("source_id", "text")))
         r = found.first()
         if r is None:
             raise SystemExit("header_not_found")
-        table = extract.read_table(spark, source, r["delimiter"], r["header_row"], r["header"])
+        table = extract.read_table(spark, source, r["delimiter"], r["header_row"], r["header"], encoding)
         names = dict(zip(table.columns, r["header"]))
         if a.rename:
             mapped = mapping.map_columns(mapping.explode_header(found))

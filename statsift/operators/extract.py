@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,27 +11,35 @@ QUOTED = r"""^(".*"|'.*')$"""
 DECLINED = ("log of odds ratios", "allele flipping", "coordinate lift-over", "filling of missing values")
 
 
+def can_read(path: str, compression: str) -> bool:
+    """Whether Spark reads a whole file's lines: not packed, or packed as one stream under the suffix that Spark knows."""
+    return compression == "none" or (path.lower().endswith(".gz") and compression in ("gzip", "bgzf")) or (path.lower().endswith(".bz2") and compression == "bzip2" and not path.lower().endswith(".tar.bz2"))
+
+
 def read_table(spark: SparkSession, path: str, delimiter: str, header_row: int, header: list[str], encoding: str = "UTF-8", comment: str | None = None) -> DataFrame:
     """A delimited file whose layout is known: every column a string, names kept as they are.
 
-    Runs of spaces are one delimiter.  Lines up to the header go by its text, so
-    that the file can be read in splits."""
-    lines = spark.read.option("encoding", encoding).text(path)
+    Runs of spaces are one delimiter.  ``header_row`` physical lines and the header
+    go by their position, so that the file can be read in splits; what stands below stays, whatever it says."""
+
+    @F.pandas_udf("string")
+    def decoded(line: pd.Series) -> pd.Series:
+        return line.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+    value = F.col("value") if encoding.upper() == "UTF-8" else decoded(F.col("value").cast("binary"))  # the text reader keeps bytes as they are
+    lines = spark.read.text(path).select(value.alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    above = lines.select("block", "at").orderBy("block", "at").limit(header_row + 1).collect()  # ids ascend within a block
+    if above:
+        lines = lines.filter((F.col("block") > above[-1]["block"]) | ((F.col("block") == above[-1]["block"]) & (F.col("at") > above[-1]["at"])))
+    if comment:
+        lines = lines.filter(~F.startswith("value", F.lit(comment)))
+    lines = lines.filter(F.trim("value") != "")
+    names = [f"c{i}" for i in range(len(header))]
     if delimiter == " ":
         cells = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
-        rows = lines.filter(F.trim("value") != "").select(cells.alias("cells"))
-        names = [f"c{i}" for i in range(len(header))]
-        out = rows.select(*(F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
-    else:
-        schema = ", ".join(f"c{i} string" for i in range(len(header)))
-        reader = spark.read.schema(schema).options(sep=delimiter, header=False, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-        out = (reader.option("comment", comment) if comment else reader).csv(path)
-        names = out.columns
-    top = header if header_row == 0 or header else []
-    same = F.lit(True)
-    for n, h in zip(names, top):
-        same = same & (F.col(n) == h)
-    return out.filter(~F.coalesce(same, F.lit(False)))
+        return lines.select(cells.alias("cells")).select(*(F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
+    layout = {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    return lines.select(F.from_csv("value", ", ".join(f"{n} string" for n in names), layout).alias("row")).select("row.*")
 
 
 def strip_quotes(table: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
