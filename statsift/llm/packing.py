@@ -2,14 +2,17 @@
 
 Documents are cut into pieces of at most ``width`` tokens where they are
 encoded.  Only the histogram of piece lengths, at most ``width`` numbers,
-reaches the driver.  There lengths are placed longest first, each into the pack
-with the least room that still takes it ("shortest-pack-first"), many equal
-pieces at a time: a pack is a pattern of lengths with a count.  The patterns go
-back to the pieces by rank: the r-th piece of a length takes the r-th place that
-the patterns hold for that length.
+reaches the driver.  There lengths are placed longest first, each into the
+shortest pack, the one with the most room, if that takes it, else into a new one;
+many equal pieces at a time: a pack is a pattern of lengths with a count.  The
+patterns go back to the pieces by rank: the r-th piece of a length takes the r-th
+place that the patterns hold for that length.
 
 Defined cases: a null text is an empty one and holds the end id alone; repeated
-rows are packed as often as they occur; an empty table gives no rows.
+rows are packed as often as they occur; of packs with equal room any may be taken;
+pieces of equal length are ranked by id, start and checksum; a very long text is
+cut into as many pieces as it needs, and a task holds that one text and its ids;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,7 +56,7 @@ def _pieces(batch: pa.RecordBatch, path: str, width: int, end_id: int) -> pa.Tab
 
 
 def pack_histogram(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Patterns ``(count, ((length, times), ...))`` that hold every piece once.
+    """Patterns ``(count, ((length, times), ...))`` that hold every piece once; a length may stand in a pattern more than once.
 
     ``histogram``: pieces of each length from 1 to ``width``."""
     open_packs: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = defaultdict(list)  # by room left
@@ -70,9 +73,9 @@ def pack_histogram(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[
     for length in sorted((n for n in histogram if histogram[n] > 0), reverse=True):
         left = histogram[length]
         while left:
-            room = min((r for r in rooms if r >= length), default=None)
-            if room is None:
-                # new packs, each with as many pieces of this length as it takes
+            room = max(rooms, default=0)
+            if room < length:
+                # new packs; each is the one with the most room until it has as many of this length as it takes
                 times = min(left, width // length)
                 packs = left // times
                 put(packs, ((length, times),), width - length * times)
@@ -81,12 +84,11 @@ def pack_histogram(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[
             count, pattern = open_packs[room].pop()
             if not open_packs[room]:
                 rooms.discard(room)
-            times = min(room // length, left)
-            packs = min(count, left // times)
+            packs = min(count, left)
             if count > packs:
                 put(count - packs, pattern, room)
-            put(packs, (*pattern, (length, times)), room - length * times)
-            left -= packs * times
+            put(packs, (*pattern, (length, 1)), room - length)
+            left -= packs
     for packs in open_packs.values():
         full += packs
     return full
