@@ -32,8 +32,6 @@ import numpy as np
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _SAFE_CUT = re.compile(r" (?<!\s )(?!\s)")
 _LATIN = re.compile("[\x00-ɏ]*")
-#: Longer words are merged window by window.
-LONG_WORD = 1 << 12
 REMEMBERED = 900_000
 NO_RANK = np.int64(1) << 40
 _encoders: dict[str, PieceEncoder] = {}
@@ -165,7 +163,6 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict = {}
-        self.streamed = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -194,13 +191,6 @@ class PieceEncoder:
             return None
         return [w.encode() for w in self.split(piece)]
 
-    def _long_word(self, word: bytes) -> bytes:
-        if self.streamed is None:
-            from statsift.llm.transducer import LongWords
-
-            self.streamed = LongWords(self)
-        return self.streamed.word(word)
-
     def _learn(self, pieces: set) -> None:
         hard, easy, words = [], [], {}
         for piece in pieces:
@@ -212,11 +202,7 @@ class PieceEncoder:
                 for x in w:
                     words[x] = None
         if words:
-            short = [w for w in words if len(w) <= LONG_WORD]
-            if short:
-                words.update(zip(short, self.table.merge(short)))
-            for w in [w for w in words if len(w) > LONG_WORD]:
-                words[w] = self._long_word(w)
+            words.update(zip(list(words), self.table.merge(list(words))))
         for piece, w in easy:
             self.known[piece] = words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])
         if hard:

@@ -3,17 +3,25 @@
 The encoder is a transducer with bounded lookahead.  From the merge list alone
 it computes how many bytes to the right can still change a token (``sufficient
 lookahead``); a token that ends further from the end of what has been read is
-stable and is emitted.  Text is read in chunks and held back only to the last
-place where the split into words is certain; words beyond a few kilobytes are
-merged in windows of one kilobyte and the lookahead, so the work on a long text
-or a word without end stays in proportion and its memory constant.
+stable and is emitted.  Every text is read in chunks.  Words that end within what
+has been read are emitted at once; of a word that goes on, at most a window is
+held, beyond which it is merged window by window and its stable tokens are
+emitted.  So the state of a text is a window, the lookahead and the start of a
+special token, however long the text or its words are, in any script.  Merges of
+closed words are remembered in a table of bounded size.
 
 The decoder turns ids into bytes and bytes into text with an incremental UTF-8
-state machine, which holds at most three bytes back.
+state machine, which holds at most three bytes back.  Digests are kept up chunk by
+chunk, so that a task holds no text's whole ids.
+
+Files are byte-level ones with the usual split into words (``_tokens`` knows them);
+others are refused with a ValueError.
 
 Defined cases: a null text is an empty one (no ids, empty decoded text); special
 tokens' strings inside a text become their ids as the library has it; bytes that
-are not UTF-8 decode to U+FFFD.
+are not UTF-8 decode to U+FFFD; a very long text costs no more memory than itself
+and a few chunks; repeated rows are encoded as often as they occur; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -21,15 +29,19 @@ from __future__ import annotations
 import codecs
 import hashlib
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from statsift.llm import _common as c
-from statsift.llm._tokens import _SAFE_CUT, MergeTable, PieceEncoder, byte_symbols, encoder
+from statsift.llm._tokens import MergeTable, byte_symbols, encoder
 
 CHUNK = 1 << 16
+WINDOW = 1 << 10
+REMEMBERED = 1 << 18
+_rules: dict[str, Rules] = {}
 _ids_as_text: dict[str, list[bytes]] = {}
 
 
@@ -54,92 +66,160 @@ def sufficient_lookahead(table: MergeTable, symbols: dict[int, int]) -> int:
     return longest
 
 
-class Transducer:
-    """The encoder of one text: ``feed`` its parts in order, then ``close``.
+class WordMerger:
+    """Ids of one word that is still being read: merged in windows, of which the
+    tokens that the lookahead shows to be stable are emitted.  Holds a window and
+    the lookahead at most (a window grows only where one token fills it)."""
 
-    Both return the text that became stable; the ids of such a part do not
-    depend on anything before or after it, so parts of many texts can be encoded
-    together."""
+    def __init__(self, rules: Rules) -> None:
+        self.rules, self.window, self.held = rules, rules.window, b""
 
-    def __init__(self, tool: PieceEncoder) -> None:
-        self.tool, self.held = tool, ""
+    def push(self, data: bytes) -> bytes:
+        self.held += data
+        out, table, ahead = [], self.rules.table, self.rules.lookahead
+        while len(self.held) > self.window + ahead:
+            part = self.held[: self.window + ahead]
+            ids = np.frombuffer(table.merge([part], closed=False)[0], "<u4")
+            ends = np.cumsum(self.rules.sizes[ids])
+            stable = int(np.searchsorted(ends, len(part) - ahead, "right"))
+            if not stable:  # a token as long as the window: read on
+                self.window *= 2
+                continue
+            out.append(ids[:stable].tobytes())
+            self.held = self.held[int(ends[stable - 1]) :]
+        return b"".join(out)
 
-    def feed(self, text: str) -> str:
-        self.held += text
-        cut = self._last_cut()
-        if not cut:
-            return ""
-        out, self.held = self.held[:cut], self.held[cut:]
-        return out
+    def close(self) -> bytes:
+        data, self.held = self.held, b""
+        return self.rules.table.merge([data])[0] if data else b""
 
-    def close(self) -> str:
-        out, self.held = self.held, ""
-        return out
-
-    def _last_cut(self) -> int:
-        """The last place of the held text at which any file of the two kinds can be cut."""
-        if self.tool.dropping:
-            return max(self.held.rfind(" "), self.held.rfind("\n")) + 1
-        at = self.held.rfind(" ")
-        while at > 0:
-            if _SAFE_CUT.match(self.held, at):
-                return at
-            at = self.held.rfind(" ", 0, at)
-        return 0
-
-
-class LongWords:
-    """Ids of pieces too long for the table of remembered ones: words are merged
-    in windows, and the tokens of a window that are stable are emitted."""
-
-    def __init__(self, tool: PieceEncoder, window: int = 1 << 10) -> None:
+
+class Rules:
+    """What a byte-level file says: the merge list, its lookahead, the split into words, the special tokens."""
+
+    def __init__(self, path: str, window: int = WINDOW) -> None:
+        import regex
+
+        tool = encoder(path)
+        if not tool.byte_level:
+            raise ValueError(f"{path} is not a byte-level file")
+        self.table, self.window, self.split = tool.table, window, tool.split
         symbols = {int(i): 1 for i in (*tool.table.first, *tool.table.last)}
-        self.tool, self.window = tool, window
         self.lookahead = sufficient_lookahead(tool.table, symbols)
-        self.sizes = dict(symbols)
+        self.sizes = np.zeros(tool.vocabulary, np.int64)
+        for i in symbols:
+            self.sizes[i] = 1
         for u, v, new in tool.table.pairs:
             self.sizes[new] = self.sizes[u] + self.sizes[v]
+        self.specials = {t.content: np.array([i], "<u4").tobytes() for i, t in tool.library.get_added_tokens_decoder().items()}
+        self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or "(?!)")
+        self.starts = {x[:k] for x in self.specials for k in range(1, len(x))}
+        self.longest = max(map(len, self.starts), default=0)
+        # how a word of each class goes on
+        self.goes_on = [regex.compile(x) for x in (r"\s*", r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*")]
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, items: list[list]) -> list[bytes]:
+        """Ids of lists of closed words (text) and of what is ids already (bytes)."""
+        new = {x for words in items for x in words if x.__class__ is str and x not in self.known}
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+            new = {x for words in items for x in words if x.__class__ is str}
+        if new:
+            self.known.update(zip(new, self.table.merge([w.encode() for w in new])))
+        known = self.known
+        return [b"".join([known[x] if x.__class__ is str else x for x in words]) for words in items]
 
-    def word(self, data: bytes) -> bytes:
-        """Ids of one word, emitted window by window."""
-        out, at = [], 0
-        table = self.tool.table
-        while len(data) - at > self.window + self.lookahead:
-            part = data[at : at + self.window + self.lookahead]
-            ids = np.frombuffer(table.merge([part], closed=False)[0], "<u4")
-            ends = np.cumsum([self.sizes[i] for i in ids.tolist()])
-            stable = int(np.searchsorted(ends, len(part) - self.lookahead, "right"))
-            if not stable:  # a token as long as the window: read on
-                self.window *= 2
-                continue
-            out.append(ids[:stable].tobytes())
-            at += int(ends[stable - 1])
-        out.append(table.merge([data[at:]])[0])
-        return b"".join(out)
 
+class Transducer:
+    """The encoder of one text: ``feed`` its parts in order, then ``close``.
 
-def encode_stream(texts: list[str | None], path: str, chunk: int = CHUNK) -> list[bytes]:
-    """Ids of many texts, read in step chunk by chunk."""
-    tool = encoder(path)
-    if not (tool.dropping or tool.byte_level):
-        return tool.encode(texts)
-    out: list[list[bytes]] = [[] for _ in texts]
-    live = [(k, t or "", Transducer(tool)) for k, t in enumerate(texts)]
+    Both return closed words, in order, and ids (bytes) of special tokens and of the
+    stable tokens of a word that is still open.  Held are the start of a special
+    token, and a word's text up to a window; a longer word goes to a WordMerger."""
+
+    def __init__(self, rules: Rules) -> None:
+        self.rules, self.tail, self.held = rules, "", ""
+        self.merger: WordMerger | None = None
+        self.kind = 0  # of the open word: white space, letters, numbers, others
+
+    def feed(self, text: str, last: bool = False) -> list:
+        text, self.tail = self.tail + text, ""
+        rules, out, at = self.rules, [], 0
+        for m in rules.special.finditer(text):
+            out += self._plain(text[at : m.start()], True)
+            out.append(rules.specials[m.group()])
+            at = m.end()
+        rest = text[at:]
+        if not last:
+            begun = next((k for k in range(min(len(rest), rules.longest), 0, -1) if rest[-k:] in rules.starts), 0)
+            if begun:
+                rest, self.tail = rest[:-begun], rest[-begun:]
+        return out + self._plain(rest, last)
+
+    def close(self) -> list:
+        return self.feed("", True)
+
+    def _plain(self, text: str, last: bool) -> list:
+        """``last``: the text ends here, or a special token follows."""
+        out: list = []
+        if self.merger:
+            run = self.rules.goes_on[self.kind].match(text).group()
+            text, over = text[len(run) :], last or len(run) < len(text)
+            if self.kind == 0:
+                run = self.held + run
+                # the last blank before a word is that word's
+                self.held, run = ("", run) if over and not text else (run[-1:], run[:-1])
+            out.append(self.merger.push(run.encode()))
+            if not over:
+                return out
+            out.append(self.merger.close())
+            self.merger = None
+        text = self.held + text
+        self.held = ""
+        words = self.rules.split(text)
+        if last or not words:
+            return out + words
+        keep = len(words[-1])
+        if len(words) > 1 and words[-2][0] == "'" and len(words[-2]) + keep <= 3:
+            keep += len(words[-2])  # may become a contraction
+            del words[-2:]
+        else:
+            del words[-1]
+        self.held = text[len(text) - keep :]
+        if keep > self.rules.window:
+            end = self.held[-1]
+            self.kind = next(k for k, on in enumerate(self.rules.goes_on) if on.match(end).end())
+            self.merger = WordMerger(self.rules)
+            now, self.held = (self.held[:-1], end) if self.kind == 0 else (self.held, "")
+            words.append(self.merger.push(now.encode()))
+        return out + words
+
+
+def rules_of(path: str) -> Rules:
+    """The worker's rules for a byte-level file; made once in a Python process."""
+    if path not in _rules:
+        _rules[path] = Rules(path)
+    return _rules[path]
+
+
+def encode_chunks(texts: list[str | None], path: str, chunk: int = CHUNK, rules: Rules | None = None) -> Iterator[tuple[int, bytes]]:
+    """``(text, ids)`` of many texts, read in step, ``chunk`` characters of each at a time."""
+    rules = rules or rules_of(path)
+    live = [(k, t or "", Transducer(rules)) for k, t in enumerate(texts)]
     at = 0
     while live:
-        who, ready, rest = [], [], []
-        for k, text, machine in live:
-            part = machine.feed(text[at : at + chunk]) if len(text) > chunk else text
-            over = at + chunk >= len(text)
-            if over and len(text) > chunk:
-                part += machine.close()
-            who.append(k)
-            ready.append(part)
-            if not over:
-                rest.append((k, text, machine))
-        for k, ids in zip(who, tool.encode(ready)):
-            out[k].append(ids)
-        live, at = rest, at + chunk
+        items = [machine.feed(text[at : at + chunk], at + chunk >= len(text)) for _, text, machine in live]
+        yield from zip([k for k, _, _ in live], rules.ids(items))
+        at += chunk
+        live = [x for x in live if len(x[1]) > at]
+
+
+def encode_stream(texts: list[str | None], path: str, chunk: int = CHUNK, rules: Rules | None = None) -> list[bytes]:
+    """The ids of each text."""
+    out: list[list[bytes]] = [[] for _ in texts]
+    for k, ids in encode_chunks(texts, path, chunk, rules):
+        out[k].append(ids)
     return [b"".join(parts) for parts in out]
 
 
@@ -155,25 +235,55 @@ def id_bytes(path: str) -> list[bytes]:
     return _ids_as_text[path]
 
 
+class Decoder:
+    """Ids to text: bytes of a few thousand ids at a time through the UTF-8 state machine."""
+
+    def __init__(self, path: str, step: int = 1 << 14) -> None:
+        self.table, self.step = id_bytes(path).__getitem__, step
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        return "".join([self.machine.decode(b"".join(map(self.table, ids[i : i + self.step]))) for i in range(0, len(ids), self.step)])
+
+    def close(self) -> str:
+        return self.machine.decode(b"", True)
+
+
 def decode_stream(ids: bytes, path: str, step: int = 1 << 14) -> str:
-    """The text of ``<u4`` ids: a few thousand at a time through the UTF-8 state machine."""
-    table = id_bytes(path).__getitem__
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
-    numbers = np.frombuffer(ids, "<u4")
-    parts = [machine.decode(b"".join(map(table, numbers[i : i + step].tolist()))) for i in range(0, len(numbers), step)]
-    return "".join(parts) + machine.decode(b"", True)
+    """The text of ``<u4`` ids."""
+    decoder = Decoder(path, step)
+    return decoder.feed(np.frombuffer(ids, "<u4").tolist()) + decoder.close()
+
+
+class _Digests:
+    """Number of ids, digest of the ids, digest of the decoded text, kept up chunk by chunk."""
+
+    def __init__(self, path: str) -> None:
+        self.n, self.ids, self.text, self.decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(path)
+
+    def add(self, ids: bytes) -> None:
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        if numbers:
+            self.ids.update(("," * (self.n > 0) + str(numbers)[1:-1].replace(" ", "")).encode())
+            self.n += len(numbers)
+            self.text.update(self.decoder.feed(numbers).encode())
+
+    def row(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.close().encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
 
 
 def _round_trip(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
-    counts, id_digests, text_digests = [], [], []
+    rows = []
     for part in c.slices(batch, "text"):
-        for ids in encode_stream(part.column("text").to_pylist(), path):
-            numbers = np.frombuffer(ids, "<u4")
-            counts.append(len(numbers))
-            id_digests.append(hashlib.sha256(str(numbers.tolist())[1:-1].replace(" ", "").encode()).hexdigest())
-            text_digests.append(hashlib.sha256(decode_stream(ids, path).encode()).hexdigest())
+        texts = part.column("text").to_pylist()
+        kept = [_Digests(path) for _ in texts]
+        for k, ids in encode_chunks(texts, path):
+            kept[k].add(ids)
+        rows += [d.row() for d in kept]
+    counts, ids, texts = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())],
+        [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
         ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     )
 
