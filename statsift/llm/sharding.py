@@ -5,25 +5,32 @@ of each slot are summed, and a small versioned map says which shard holds which
 slot.  Growing the number of shards, or evening out their sizes, edits the map;
 it never hashes a record anew, and moves only the slots that the edit names.
 
-Law ``bytes``: the shards' sizes are near equal.  The first version deals slots
-round; the second moves slots off the shards above the mean until the sizes are
-as near as whole slots allow.
+Law ``bytes``: the shards' sizes are near equal.  The first version of a map deals
+slots round; each call loads the last version, moves slots off the shards above the
+mean until the sizes are as near as whole slots allow, and appends what it made as
+the next version.  What it places is what it reads back from there.
 
 Defined cases: a null text has no bytes and the size of an empty one; a null or
-repeated id goes where its hash says; an empty table gives no rows.
+repeated id goes where its hash says, so all rows of an id are in one shard, and the
+ranking of a slot's rows is split over tasks; equal rows are ranked in any order;
+texts are measured only, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statsift.llm import _common as c
 
 SLOTS = 8192
 OVERHEAD = 16
+#: The rows of a slot are ranked in so many parts.
+PARTS = 64
+MAP = "version int, virtual_slot int, shard int"
 #: Last moves a shard at most, when a map is evened out.
 POLISH = 4
 
@@ -40,12 +47,14 @@ def rebalance(mapping: list[int], sizes: list[int], shards: int) -> list[int]:
     first, then their smallest; the freed slots go, largest first, each to the
     shard that is then the smallest; a few single moves follow."""
     new, held, total = list(mapping), [[] for _ in range(shards)], [0] * shards
+    free = []
     for slot, shard in enumerate(mapping):
+        if shard >= shards:  # a shard that is no more
+            new[slot] = slot % shards
         if sizes[slot]:
-            held[shard].append(slot)
-            total[shard] += sizes[slot]
+            held[new[slot]].append(slot)
+            total[new[slot]] += sizes[slot]
     mean = sum(total) / shards
-    free = []
     for shard in range(shards):
         stay = []
         for slot in sorted(held[shard], key=lambda s: (-sizes[s], s)):
@@ -83,44 +92,69 @@ def rebalance(mapping: list[int], sizes: list[int], shards: int) -> list[int]:
     return new
 
 
-def versioned(spark, versions: list[list[int]]) -> DataFrame:
-    """The map's versions as a table ``version, slot, shard``: a fixed number of rows each."""
-    rows = [(v, slot, shard) for v, mapping in enumerate(versions, 1) for slot, shard in enumerate(mapping)]
-    return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
+def last_version(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """The last version of the map in ``path``, if there is one: a row a slot."""
+    try:
+        stored = spark.read.schema(MAP).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    version = stored.agg(F.max("version")).first()[0]
+    if version is None:
+        return None
+    return version, [r["shard"] for r in stored.filter(F.col("version") == version).orderBy("virtual_slot").collect()]
+
+
+def append_version(spark: SparkSession, path: str, version: int, mapping: list[int]) -> None:
+    rows = [(version, slot, shard) for slot, shard in enumerate(mapping)]
+    spark.createDataFrame(rows, MAP).coalesce(1).write.mode("append").parquet(path)
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot``.
 
     ``slot`` is the row's place in its shard, gapless from 0; ``virtual_slot``
-    the one it is hashed to.  The map's versions are written below the shared
-    folder when this is called."""
+    the one it is hashed to.  ``map_path``: where the map's versions are kept; the
+    last one there is edited (its number of slots counts), and the next one is
+    appended when this is called.  Without it a new map begins."""
     spark = docs.sparkSession
+    map_path = map_path or c.new_path(spark, "slot-map")
+    found = last_version(spark, map_path)
+    if found is None:
+        found = 1, first_map(shards, slots)
+        append_version(spark, map_path, *found)
+    version, mapping = found
+    slots = len(mapping)
     data = c.utf8("text")
     rows = c.pick(docs, doc_id=id_col, text=text_col).select(
         "doc_id",
         (F.octet_length(data) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"),
     )
     rows = c.cut(rows, "sized")
-    held = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # one row a slot
-    sizes, counts = [0] * slots, [0] * slots
+    counts = rows.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    counts = c.cut(counts, "slot-counts")  # at most slots x PARTS rows
+    held = counts.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()  # one row a slot
+    sizes, rows_of = [0] * slots, [0] * slots
     for r in held:
-        sizes[r["virtual_slot"]], counts[r["virtual_slot"]] = r["bytes"], r["n"]
-    versions = [first_map(shards, slots)]
-    versions.append(rebalance(versions[0], sizes, shards))
-    versioned(spark, versions).write.parquet(c.new_path(spark, "slot-map"))
+        sizes[r["virtual_slot"]], rows_of[r["virtual_slot"]] = r["bytes"], r["n"]
+    append_version(spark, map_path, version + 1, rebalance(mapping, sizes, shards))
+    _, mapping = last_version(spark, map_path)
 
     base, placed = [0] * shards, []
-    for slot, home in enumerate(versions[-1]):
+    for slot, home in enumerate(mapping):
         placed.append((slot, home, base[home]))
-        base[home] += counts[slot]
-    current = spark.createDataFrame(placed, "virtual_slot int, shard int, base long")
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
+        base[home] += rows_of[slot]
+    current = spark.createDataFrame(placed, "virtual_slot int, shard int, base long")  # one row a slot
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("virtual_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.join(F.broadcast(current), "virtual_slot").select("virtual_slot", "part", "shard", (F.col("base") + before).alias("base"))
+    place = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
         rows.withColumn("place", place)
-        .join(F.broadcast(current), "virtual_slot")
+        .join(parts, ["virtual_slot", "part"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("base") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
