@@ -1,19 +1,22 @@
 """License scans with a positional index of rare words.
 
-Templates are short notices with a mandatory key phrase.  The document frequency
-of every licence word is counted over all documents; the rarest word of a key
-phrase (its highest-IDF word) is the template's entry in the index, with its
-position.  A file's licence words are looked up there, each posting gives the
-place where the template would have to begin, and the places where the whole key
-phrase stands at its relative positions are kept.  A match of the key phrase
-holds its rarest word, so none is missed.  The score is the share, by IDF, of
-the best template's words that stand at their positions.
-
-Only DataFrame functions are used.  The index has a row for each template, so it
-is part of the query's expressions; one number for each licence word reaches the
+Templates are notices with a mandatory key phrase.  The document frequency of
+every licence word is counted over all documents.  The index holds, for each
+template, the ``RARE`` highest-IDF words of its key phrase with their positions.
+A file's words are looked up there: each posting says where the template would
+have to begin.  The postings of a template's words are intersected by that
+relative position, and where all of them agree the key phrase is verified word by
+word.  A key phrase holds all its words, so no place is missed.  The score is the
+share, by IDF, of the best template's words that stand at their positions around
+a verified key phrase.
+
+Only DataFrame functions are used.  The index has a few rows for each template, so
+it is part of the query's expressions; one number for each licence word reaches the
 driver.
 
-Defined cases: a null or empty text has no words, no labels and score 0; null
+Defined cases: a null or empty text has no words, no labels and score 0; of words
+with equal IDF the earlier in the phrase goes into the index; a very long text is
+one array of its words, about three times its bytes, in the task that reads it; null
 and repeated ids are kept; an empty table gives no rows.
 """
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,25 +55,33 @@ BASE = (
     Template("apache-2", "apache license version 2", "apache license version 2"),
     Template("cc-by-nc", "cc by nc", "cc by nc"),
 )
-#: The method's own templates.
+#: The method's own templates; the notices are those that the licences ask to be put in files.
 OWN = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
-    Template("apache-2", "licensed under the apache license version 2 0", "the apache license version 2"),
-    Template("gpl", "licensed under the gnu general public license", "gnu general public license"),
-    Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
-    Template("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "the apache license version 2"),
+    Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    Template("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "provided as is without any express or implied warranty"),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    Template("bsl", "distributed under the boost software license version 1 0", "boost software license"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("cc-by", "this work is licensed under a creative commons attribution license", "creative commons attribution"),
     Template("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     Template("cc0", "dedicated to the public domain", "dedicated to the public domain"),
     Template("all-rights-reserved", "all rights reserved", "all rights reserved"),
 )
+#: Words of a key phrase that go into the index.
+RARE = 3
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text in order.  Letters beyond A-Z may change case too,
-    which neither makes nor breaks a word of a template."""
-    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BETWEEN, " "))
+    """The words of a text in order, A-Z lower-cased."""
+    spaced = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN, " "))
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
@@ -92,18 +104,21 @@ def scan(docs: DataFrame, own: tuple[Template, ...] = OWN, base: tuple[Template,
     templates = (*base, *own)
     idf = word_idf(rows, sorted({w for t in templates for w in t.notice.split()}))
 
-    rarest = {t: max(enumerate(t.key.split()), key=lambda x: (idf[x[1]], -x[0])) for t in templates}
-    entries = sorted({word for _, word in rarest.values()})
+    index = {t: sorted(enumerate(t.key.split()), key=lambda x: (-idf[x[1]], x[0]))[:RARE] for t in templates}
+    entries = sorted({word for postings in index.values() for _, word in postings})
     postings = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda p: p["word"].isin(entries))
     none = F.array().cast("array<struct<word:string,at:int>>")
     looked_up = rows.withColumn("postings", F.when(F.arrays_overlap("words", _strings(entries)), postings).otherwise(none))
 
+    def starts(place: int, word: str) -> Column:
+        """Where a key phrase would begin, by the postings of one of its words."""
+        return F.transform(F.filter("postings", lambda p: p["word"] == word), lambda p: p["at"] - place)
+
     def begins(t: Template) -> Column:
-        """Where the key phrase begins: places that a posting of its rarest word gives and the whole phrase confirms."""
-        place, word = rarest[t]
+        """Where the key phrase begins: the places on which all its postings agree and which the whole phrase confirms."""
         key = t.key.split()
-        given = F.transform(F.filter("postings", lambda p: p["word"] == word), lambda p: p["at"] - place)
-        return F.filter(given, lambda s: (s >= 0) & (F.slice("words", F.greatest(s, F.lit(0)) + 1, len(key)) == _strings(key)))
+        agreed = reduce(F.array_intersect, (starts(place, word) for place, word in index[t]))
+        return F.filter(agreed, lambda s: (s >= 0) & (F.slice("words", F.greatest(s, F.lit(0)) + 1, len(key)) == _strings(key)))
 
     def likeness(t: Template, places: str) -> Column:
         """The largest share of the notice's IDF that stands where it should."""
