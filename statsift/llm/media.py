@@ -8,8 +8,9 @@ come from range reads of the first bytes alone; the features from a range read
 of the payload, which is checked against its digest.
 
 Defined cases: a null text is an empty one, stored as one row of 64 zero bytes;
-equal texts share one entry and so all values; null and repeated ids are kept;
-an empty table gives no rows.
+equal texts share one entry and so all values; null and repeated ids are kept; a
+very long text is held by one task with its picture, of which the header limits the
+payload to 2**31 rows of samples; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from statsift.llm._files import for_reading, whole_file
 ROW = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # signature and header chunk
+#: Stored bytes that a task reads back, about; neighbours in a shard go together.
+READ_BYTES, MOST_TASKS = 8 << 20, 20_000
 READ_BACK = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bit_depth int, media_path string, media_offset long"
 
 
@@ -139,7 +142,10 @@ def read_back(index: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ_BACK.split(", ")])
 
     one = index.groupBy("digest").agg(F.min(F.struct("path", "offset", "length")).alias("at")).select("digest", "at.*")
-    return one.repartition("path").sortWithinPartitions("path", "offset").mapInPandas(read, READ_BACK)
+    held = index.agg(F.sum("length")).first()[0] or 0
+    tasks = min(1 + held // READ_BYTES, MOST_TASKS)  # a stated number is not coalesced by the index's own few bytes
+    stretch = F.floor(F.col("offset") / F.lit(READ_BYTES))
+    return one.repartition(tasks, "path", stretch).sortWithinPartitions("path", "offset").mapInPandas(read, READ_BACK)
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
