@@ -10,7 +10,8 @@ so the files in order of their part number hold all documents in ascending order
 
 Defined cases: a null text is an empty one and holds the end id alone; a null id
 sorts first; documents that share an id follow one another in an order fixed by
-their texts; an empty table gives no file and no rows.
+their texts, and may lie in several files; a very long text is held by one task with
+its ids, and read back by itself; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from statsift.llm._tokens import encoder
 
 MAGIC = b"IDPACK01"
 BLOCK = 1 << 16
+MOST_TASKS = 20_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -158,7 +160,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
         yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "n_docs": len(writer.doc_ids), "n_tokens": writer.n}])
 
     rows = c.pick(docs, doc_id=id_col, text=text_col)
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = rows.withColumn("mark", F.xxhash64("text"))  # splits the rows of an id that occurs very often
+    dealt = order.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
     return c.cut(dealt.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "token-file-index")
 
 
@@ -186,5 +189,6 @@ def read_token_files(index: DataFrame) -> DataFrame:
                         k = upto
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = index.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))  # one row a file
-    return placed.repartition("path").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = index.select("part", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))  # one row a file
+    tasks = min(max(1, index.count()), MOST_TASKS)  # a stated number is not coalesced: a file a task
+    return placed.repartitionByRange(tasks, "part").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

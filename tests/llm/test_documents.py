@@ -49,6 +49,29 @@ def test_shards(spark, odd, odd_rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_the_map_is_loaded_edited_and_appended(spark, odd, tmp_path):
+    path = f"file://{tmp_path}/map"
+    first = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in sharding.shard(odd, shards=4, map_path=path).collect()}
+    again = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in sharding.shard(odd, shards=4, map_path=path).collect()}
+    versions = {r["version"]: r["count"] for r in spark.read.parquet(path).groupBy("version").count().collect()}
+    assert versions == {1: sharding.SLOTS, 2: sharding.SLOTS, 3: sharding.SLOTS}
+    assert first == again  # an even map needs no edit
+    grown = sharding.shard(odd, shards=5, map_path=path).collect()
+    assert {r["shard"] for r in grown} <= set(range(5)) and sum(first[r["doc_id"], r["text_crc32"]] != r["shard"] for r in grown) < len(grown)
+    fewer = sharding.shard(odd, shards=2, map_path=path).collect()
+    assert {r["shard"] for r in fewer} == {0, 1}
+    for shard in range(2):
+        assert sorted(r["slot"] for r in fewer if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in fewer)))
+
+
+def test_an_id_with_most_rows(spark):
+    rows = [(None if i % 3 else 7, f"text {i % 5}") for i in range(300)] + [(i, "x") for i in range(100)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=3).collect()
+    assert len(got) == 400
+    for shard in range(3):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
 def test_near_equal_sizes_and_few_moves():
     rng = np.random.default_rng(1)
     sizes = rng.lognormal(8, 1, 8192).astype(int).tolist()

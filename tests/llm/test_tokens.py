@@ -28,25 +28,69 @@ def test_encoder_equals_library(vocab, name, odd_rows):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == library(vocab(name))(texts)
 
 
+BYTES = "byte_bpe_50k.json"
+
+
 @pytest.mark.parametrize("name", FILES)
-def test_long_words_stream(vocab, name):
+def test_long_words(vocab, name):
     rng = random.Random(2)
-    tool = _tokens.PieceEncoder(vocab(name))
-    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(9000))
-    words = [letters, "a" * 9001, "ab" * 5000, "".join(rng.choice(["ing", "tion", "the", "x"]) for _ in range(3000))]
-    stream = transducer.LongWords(tool, window=64)
-    assert 0 < stream.lookahead < 4096
-    want = library(vocab(name))(words)
-    for w, ids in zip(words, want):
-        assert np.frombuffer(stream.word(w.encode()), "<u4").tolist() == ids
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(9000)), "a" * 9001, "ab" * 5000, "".join(rng.choice(["ing", "tion", "the", "x"]) for _ in range(3000))]
+    got = _tokens.PieceEncoder(vocab(name)).encode(words)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == library(vocab(name))(words)
 
 
-@pytest.mark.parametrize("name", FILES)
-@pytest.mark.parametrize("chunk", [7, 100])
-def test_chunks_do_not_matter(vocab, name, chunk, odd_rows):
+@pytest.fixture(scope="module")
+def narrow(vocab):
+    """Rules with a window of a few characters, so that most words are open ones."""
+    return transducer.Rules(vocab(BYTES), window=5)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 100])
+def test_chunks_and_windows_do_not_matter(vocab, narrow, chunk, odd_rows):
+    rng = random.Random(chunk)
     texts = [r[1] for r in odd_rows if r[1] is None or len(r[1]) < 3000]
-    got = transducer.encode_stream(texts, vocab(name), chunk)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == library(vocab(name))(texts)
+    texts += ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    texts += ["".join(rng.choice([*"abc'slre ", "  ", "\n", "é", "字", "12", "!!", "'re", "<|", "<|endoftext|>"]) * rng.randint(1, 9) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    want = library(vocab(BYTES))(texts)
+    for rules in (narrow, None):
+        got = transducer.encode_stream(texts, vocab(BYTES), chunk, rules)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
+@pytest.mark.parametrize("unit", ["etaoinshrdlu", "字漢語文", "0123456789", "=-*/#", " ", "\n", "é"])
+def test_a_word_without_end(vocab, unit):
+    """Texts of one open word: the state stays small, the ids are the library's."""
+    rng = random.Random(7)
+    text = "".join(rng.choice(unit) for _ in range(40_000))
+    rules = transducer.rules_of(vocab(BYTES))
+    assert 0 < rules.lookahead < 4096
+    machine, out = transducer.Transducer(rules), []
+    for at in range(0, len(text), 1000):
+        out.append(rules.ids([machine.feed(text[at : at + 1000])])[0])
+        assert len(machine.held) <= rules.window + 1000 and (machine.merger is None or len(machine.merger.held) <= machine.merger.window + rules.lookahead)
+    out.append(rules.ids([machine.close()])[0])
+    assert np.frombuffer(b"".join(out), "<u4").tolist() == library(vocab(BYTES))([text])[0]
+
+
+def test_memory_of_a_long_text(vocab):
+    """Megabytes without blanks go through a small state."""
+    import tracemalloc
+
+    rules = transducer.rules_of(vocab(BYTES))
+    machine, part, n = transducer.Transducer(rules), "abcdefgh" * 12_500, 0
+    n += len(rules.ids([machine.feed(part)])[0])
+    tracemalloc.start()
+    for _ in range(40):
+        n += len(rules.ids([machine.feed(part)])[0])
+        assert len(machine.held) <= rules.window and len(machine.merger.held) <= machine.merger.window + rules.lookahead
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and peak < 16 << 20
+
+
+def test_other_files_are_refused(vocab):
+    with pytest.raises(ValueError):
+        transducer.Rules(vocab("word_bpe_49k.json"))
 
 
 def test_decoder(vocab):
@@ -126,6 +170,23 @@ def test_histogram_packing():
             assert sum(c for c, _ in patterns) <= 2 * total / width + 1  # no two packs could be joined
 
 
+def test_shortest_pack_first_one_by_one():
+    """The patterns hold as much as placing piece after piece into the shortest pack."""
+    rng = random.Random(8)
+    for width in (10, 64):
+        for _ in range(60):
+            histogram = {rng.randint(1, width): rng.randint(1, 30) for _ in range(rng.randint(1, 12))}
+            packs: list[int] = []
+            for length in sorted((n for n, k in histogram.items() for _ in range(k)), reverse=True):
+                shortest = min(range(len(packs)), key=packs.__getitem__, default=None)
+                if shortest is None or packs[shortest] + length > width:
+                    packs.append(length)
+                else:
+                    packs[shortest] += length
+            got = sorted(sum(a * b for a, b in pattern) for count, pattern in packing.pack_histogram(histogram, width) for _ in range(count))
+            assert got == sorted(packs)
+
+
 def test_packing(odd, odd_rows, empty, vocab):
     path = vocab("byte_bpe_50k.json")
     got = packing.pack(odd, path, width=64).collect()
