@@ -36,6 +36,11 @@ def is_numeric_cell(value: Column) -> Column:
     return ~looks_like_missing(value) & trimmed(value).rlike(NUMBER)
 
 
+def reads_as_number(value: Column) -> Column:
+    """What counts as a number in a header: also ``nan`` and ``inf``."""
+    return F.coalesce(trimmed(value).rlike(r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?(e[+-]?\d+)?|\.\d+(_\d+)*(e[+-]?\d+)?|nan|inf|infinity)$"), F.lit(False))
+
+
 def finite(value: Column) -> Column:
     """The cell as a finite double, else NULL."""
     number = F.when(trimmed(value).rlike(NUMBER), trimmed(value).try_cast("double"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The catalogue's categories and the terms that mean them.
 CATEGORIES = {
-    "European": "european eur caucasian white ceu eu".split(),
+    "European": ["european", "eur", "caucasian", "white", "ceu", "eu"],
     "East Asian": ["east asian", "eas", "chinese", "japanese", "korean", "han", "asian east"],
     "South Asian": ["south asian", "sas", "indian", "pakistani", "bangladeshi", "sri lankan"],
     "South East Asian": ["south east asian", "southeast asian", "sea", "malay", "thai", "filipino"],
@@ -33,28 +33,32 @@ def terms() -> dict[str, str]:
 
 
 def normalised(text: Column) -> Column:
-    """The category of a text: of the term that it is, else of the longest term within it."""
-    word = F.lower(F.trim(text))
+    """The category of a text: of the term that it is, else of the longest term within it
+    (of equally long ones the first of the table)."""
+    word = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
     known = terms()
-    out = F.lit(None).cast("string")
-    for term in sorted(known, key=lambda t: (len(t), t)):  # later tests come first: the longest wins
-        out = F.when(F.contains(word, F.lit(term)), F.lit(known[term])).otherwise(out)
+    out = None
+    for term in sorted(known, key=len, reverse=True):  # stable: the table's order among equals
+        test = F.contains(word, F.lit(term))
+        out = F.when(test, F.lit(known[term])) if out is None else out.when(test, F.lit(known[term]))
     exact = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     return F.coalesce(F.try_element_at(exact, word), out)
 
 
 def match_score(requested: Column, groups: Column) -> Column:
-    """A struct (score, reason): 1 alone, 0.75 among others that are reported, 0.6 in an admixed
-    study, 0.4 where nothing is reported, 0 for a mismatch."""
-    want = normalised(requested)
-    have = F.array_distinct(F.filter(F.transform(F.coalesce(groups, F.array().cast("array<string>")), normalised), lambda x: x.isNotNull()))
-    reported = F.array_remove(have, UNREPORTED)
+    """A struct (score, reason): 1 alone, 0.75 among other reported categories, 0.6 where a request
+    outside the vocabulary stands in a group's text, 0.4 where nothing is reported, 0 for a mismatch."""
+    want, needle = normalised(requested), F.lower(F.trim(requested))
+    given = F.filter(F.coalesce(groups, F.array().cast("array<string>")), lambda g: g.isNotNull() & (g != ""))
+    have = F.filter(F.transform(given, normalised), lambda x: x.isNotNull())
+    reported = F.array_distinct(F.array_remove(have, UNREPORTED))
     made = lambda score, reason: F.struct(F.lit(score).alias("score"), F.lit(reason).alias("reason"))
     return (
-        F.when(requested.isNull() | (F.trim(requested) == ""), made(1.0, "any"))
-        .when(F.size(reported) == 0, made(0.4, "unreported"))
-        .when(F.array_contains(reported, want), F.when(F.size(reported) == 1, made(1.0, "exact")).otherwise(made(0.75, "among others")))
-        .when(F.array_contains(reported, "Other admixed ancestry"), made(0.6, "admixed"))
+        F.when(requested.isNull() | (requested == ""), made(1.0, "any"))
+        .when(F.size(given) == 0, made(0.4, "unreported"))
+        .when(want.isNull(), F.when(F.exists(given, lambda g: F.contains(F.lower(g), needle)), made(0.6, "text")).otherwise(made(0.0, "unknown population")))
+        .when(F.array_contains(have, want), F.when(F.size(reported) > 1, made(0.75, "among others")).otherwise(made(1.0, "exact")))
+        .when((F.size(have) > 0) & (F.size(reported) == 0), made(0.4, "unreported"))
         .otherwise(made(0.0, "different"))
     )
 
@@ -65,6 +69,9 @@ def population_filter(studies: DataFrame, requested: str, groups: str = "ancestr
 
 
 def summary(groups: Column) -> Column:
-    """Distinct groups in order; of more than two, the first and how many more."""
-    kept = F.array_distinct(groups)
-    return F.when(F.size(kept) > 2, F.concat(F.element_at(kept, 1), F.lit(" +"), (F.size(kept) - 1).cast("string"), F.lit(" more"))).otherwise(F.array_join(kept, ", "))
+    """Distinct categories in order (a group's own text where it has none); of more than two, the
+    first and how many more; ``unknown`` where there is none."""
+    named = F.transform(F.coalesce(groups, F.array().cast("array<string>")), lambda g: F.coalesce(normalised(g), g))
+    kept = F.array_distinct(F.filter(named, lambda g: g.isNotNull() & (g != "")))
+    several = F.when(F.size(kept) > 2, F.concat(F.element_at(kept, 1), F.lit(" +"), (F.size(kept) - 1).cast("string"), F.lit(" more")))
+    return F.when(F.size(kept) == 0, F.lit("unknown")).otherwise(several.otherwise(F.array_join(kept, ", ")))

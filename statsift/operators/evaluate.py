@@ -20,7 +20,7 @@ def confusion(rows: DataFrame, predicted: Column, actual: Column, by: list[str]
     )
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     return counts.withColumns({
-        "precision": safe_divide(tp, tp + fp), "recall": safe_divide(tp, tp + fn), "specificity": safe_divide(tn, tn + fp),
+        "precision": safe_divide(tp, tp + fp), "recall": safe_divide(tp, tp + fn), "sensitivity": safe_divide(tp, tp + fn), "specificity": safe_divide(tn, tn + fp),
         "f1": safe_divide(2 * tp, 2 * tp + fp + fn), "accuracy": safe_divide(tp + tn, tp + fp + tn + fn),
         "fpr": safe_divide(fp, fp + tn), "fnr": safe_divide(fn, fn + tp),
     })
@@ -36,6 +36,17 @@ def column_set_scores(predicted: DataFrame, actual: DataFrame) -> DataFrame:
     return sums.withColumns({"precision": safe_divide(tp, tp + fp), "recall": safe_divide(tp, tp + fn), "f1": safe_divide(2 * tp, 2 * tp + fp + fn)})
 
 
+def column_set_detail(predicted: DataFrame, actual: DataFrame) -> DataFrame:
+    """The same for each source alone."""
+    a = predicted.groupBy("source_id", "name").agg(F.count("*").alias("said"))
+    b = actual.groupBy("source_id", "name").agg(F.count("*").alias("true"))
+    both = a.join(b, ["source_id", "name"], "full").na.fill(0, ["said", "true"])
+    over = lambda x, y: F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0)))
+    sums = both.groupBy("source_id").agg(F.sum(F.least("said", "true")).alias("tp"), over("said", "true").alias("fp"), over("true", "said").alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return sums.withColumns({"precision": safe_divide(tp, tp + fp), "recall": safe_divide(tp, tp + fn), "f1": safe_divide(2 * tp, 2 * tp + fp + fn)})
+
+
 def transfer_totals(rows: DataFrame, received: str, size: str, by: list[str] | None = None) -> DataFrame:
     """Bytes read and avoided: totals, reduction, mean and exact median."""
     return rows.groupBy(*(by or [])).agg(
@@ -80,6 +91,11 @@ def failure_counts(failures: DataFrame) -> DataFrame:
     return failures.groupBy("category").agg(F.count("*").alias("n"), F.min("position").alias("first")).orderBy(F.desc("n"), "first").drop("first")
 
 
+def coverage(rows: DataFrame, stages: dict[str, Column]) -> DataFrame:
+    """One row: how many sources there are, and the share for which each stage's test holds."""
+    return rows.agg(F.count("*").alias("n"), *(rate(F.coalesce(test, F.lit(False))).alias(name) for name, test in stages.items()))
+
+
 def stratified(rows: DataFrame, keys: list[str], measures: list[Column]) -> DataFrame:
     """The measures over all rows and for each value of each key; a NULL value is no stratum."""
     grouped = rows.groupingSets([[], *([k] for k in keys)], *keys).agg(*(F.grouping(k).alias(f"_all_{k}") for k in keys), *measures)

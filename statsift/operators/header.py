@@ -9,24 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statsift.functions.cells import is_data_row, is_numeric_cell, normalised_name, trimmed
+from statsift.functions.cells import is_data_row, normalised_name, reads_as_number, trimmed
 from statsift.vocabulary import Vocabulary
 
 # Delimiters in order of preference, and the limits and weights of the score.
 DELIMITERS = ("\t", ",", ";", " ", "|")
 MAX_LINES, LOOK_AHEAD, SAMPLE_ROWS = 200, 7, 50
 HINTS = (
-    "chr chrom chromosome pos position bp base_pair_location snp rsid variant_id markername marker a1 a2 allele1 allele2 effect_allele "
-    "other_allele ea nea beta or odds_ratio effect log_odds z zscore se standard_error stderr p pval pvalue p_value n sample_size n_cases "
-    "n_controls eaf maf freq effect_allele_frequency info direction"
-).split()
+    "chr", "chrom", "chromosome", "pos", "position", "bp", "base_pair_location", "snp", "rsid", "variant_id", "markername", "marker", "a1", "a2",
+    "allele1", "allele2", "effect_allele", "other_allele", "ea", "nea", "beta", "or", "odds_ratio", "effect", "log_odds", "z", "zscore", "se",
+    "standard_error", "stderr", "p", "pval", "pvalue", "p_value", "n", "sample_size", "n_cases", "n_controls", "eaf", "maf", "freq",
+    "effect_allele_frequency", "info", "direction",
+)
 
 
-def explode_lines(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Physical lines of decoded texts; the unfinished last line is not one of them unless it is all there is."""
+def explode_lines(texts: DataFrame, text: str = "text", most: int | None = None) -> DataFrame:
+    """Physical lines of decoded texts, the first ``most`` of each; the unfinished last line is not one of them unless it is all there is."""
     pieces = F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n")
     whole = F.when(F.size(pieces) > 1, F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
-    return texts.select("source_id", F.posexplode(whole).alias("line_idx", "line"))
+    return texts.select("source_id", F.posexplode(F.slice(whole, 1, most) if most else whole).alias("line_idx", "line"))
 
 
 def is_comment(line: Column) -> Column:
@@ -104,7 +105,7 @@ def score_candidates(lines: DataFrame, vocabulary: Vocabulary | None = None) ->
     rows = rows.withColumns({
         "mapped_share": share(mapped),
         "hits": F.size(F.filter("names", lambda x: x.isin(*HINTS))),
-        "numeric": F.size(F.filter("cells", is_numeric_cell)) / F.greatest(F.col("fields"), F.lit(1)),
+        "numeric": F.size(F.filter("cells", reads_as_number)) / F.greatest(F.col("fields"), F.lit(1)),
         "unique": F.size(F.array_distinct("filled")) / n,
         "empty": F.size(F.filter("cells", lambda x: x == "")),
     })

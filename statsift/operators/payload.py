@@ -51,10 +51,12 @@ def markup_reason(text: Column) -> Column:
 
 
 def is_textual(text: Column) -> Column:
-    """No NUL and next to no control characters in what is sniffed."""
+    """A byte-order mark of UTF-16 or UTF-32, or no NUL and next to no control characters in what is
+    sniffed (bytes as Latin-1)."""
     head = F.substring(text, 1, SNIFF)
+    marked = F.startswith(head, F.lit("\u00ff\u00fe")) | F.startswith(head, F.lit("\u00fe\u00ff")) | F.startswith(head, F.lit("\x00\x00\u00fe\u00ff"))
     control = F.length(F.regexp_replace(head, "[^\\x01-\\x08\\x0e-\\x1f\\x7f]", ""))
-    return ~head.contains("\x00") & (F.coalesce(F.try_divide(control, F.length(head)), F.lit(0.0)) <= CONTROL_SHARE)
+    return marked | ~head.contains("\x00") & (F.coalesce(F.try_divide(control, F.length(head)), F.lit(0.0)) <= CONTROL_SHARE)
 
 
 def compression_by_magic(content: Column, name: Column) -> Column:

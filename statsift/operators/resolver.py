@@ -56,10 +56,16 @@ def resolve_files(entries: DataFrame, prefer: str = "auto") -> DataFrame:
     return ranked.filter("rank = 1").select("source_id", "name", "size", F.round("score", 6).alias("score"), F.round(F.col("score") - F.col("runner_up"), 6).alias("gap"))
 
 
+def nothing_left(entries: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Sources of which no data file is left, as failure rows."""
+    return entries.select("source_id").distinct().join(resolved, "source_id", "left_anti").select("source_id", F.lit("no_matching_file").alias("category"))
+
+
 def with_sidecars(files: DataFrame, entries: DataFrame) -> DataFrame:
     """Each file with its sidecar, which is named after it."""
-    names = entries.select("source_id", F.col("name").alias("sidecar"))
-    return files.join(names, (files["source_id"] == names["source_id"]) & (F.concat(files["name"], F.lit("-meta.yaml")) == names["sidecar"]), "left").drop(names["source_id"])
+    wanted = files.withColumn("_wanted", F.concat("name", F.lit("-meta.yaml")))
+    there = entries.select("source_id", F.col("name").alias("_wanted"), F.col("name").alias("sidecar"))
+    return wanted.join(there, ["source_id", "_wanted"], "left").drop("_wanted")
 
 
 def expected_md5(files: DataFrame, sums: DataFrame) -> DataFrame:
