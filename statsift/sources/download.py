@@ -6,11 +6,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from statsift.functions.names import safe_file_name
 
 RESULT = "source_id string, path string, bytes long, md5 string, category string"
 CHUNK = 1 << 20
@@ -24,7 +28,13 @@ def fetch(url: str, path: str, md5: str | None = None, overwrite: bool = False,
     have = os.path.getsize(part) if os.path.exists(part) else 0
     try:
         request = urllib.request.Request(url, headers={"Range": f"bytes={have}-", "Accept-Encoding": "identity"} if have else {"Accept-Encoding": "identity"})
-        with opener(request) as answer:
+        try:
+            answer = opener(request)
+        except urllib.error.HTTPError as e:
+            if e.code != 416 or not have:
+                raise
+            answer = opener(urllib.request.Request(url, headers={"Accept-Encoding": "identity"}))  # nothing follows what is there: begin anew
+        with answer:
             mode = "ab" if have and answer.status == 206 else "wb"
             with open(part, mode) as out:
                 while chunk := answer.read(CHUNK):
@@ -43,7 +53,9 @@ def fetch(url: str, path: str, md5: str | None = None, overwrite: bool = False,
 
 
 def download(targets: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
-    """``source_id (URL), name, md5 (or NULL)`` to ``folder``, which all tasks must see."""
+    """``source_id (URL), name, md5 (or NULL)`` to ``folder``, which all tasks must see.
+
+    A name loses what could lead out of the folder."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(folder, exist_ok=True)
@@ -54,7 +66,7 @@ def download(targets: DataFrame, folder: str, overwrite: bool = False) -> DataFr
                 rows.append({"source_id": url, "path": path, **fetch(url, path, md5, overwrite)})
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
-    return targets.select("source_id", "name", "md5").mapInPandas(run, RESULT)
+    return targets.select("source_id", safe_file_name(F.col("name")).alias("name"), "md5").mapInPandas(run, RESULT)
 
 
 def read_spreadsheets(files: DataFrame) -> DataFrame:

@@ -71,14 +71,15 @@ def assessment_provenance(verdicts: DataFrame, **settings) -> DataFrame:
     return verdicts.withColumn("provenance", F.create_map(*(F.lit(x) for pair in made.items() for x in pair)))
 
 
-def render_page(title: str, *tables: tuple[str, DataFrame]) -> str:
-    """A self-contained page of the first rows of some tables."""
+def render_page(title: str, *tables: tuple[str, DataFrame], most: int = PAGE_ROWS) -> str:
+    """A self-contained page of the first ``most`` rows of some tables; it says where a table has more."""
     out = [f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
     for name, df in tables:
-        rows = flat(df).limit(PAGE_ROWS).collect()
+        rows = flat(df).limit(most + 1).collect()
+        more = f"<p>The first {most} rows; the table has more.</p>" if len(rows) > most else ""
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
-        out.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+        body = "".join("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows[:most])
+        out.append(f"<h2>{html.escape(name)}</h2>{more}<table><tr>{head}</tr>{body}</table>")
     return "".join(out)
 
 

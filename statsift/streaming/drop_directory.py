@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statsift.operators.payload import classify
+from statsift.sources.prefix import read_start
 
 
 def arriving_files(spark: SparkSession, directory: str, files_a_trigger: int = 1000, probe_bytes: int = 262_144) -> DataFrame:
-    """New files' first bytes with their classification."""
+    """New files' first bytes with their classification.
+
+    The stream lists paths alone; tasks read no more than ``probe_bytes`` of each file."""
+
+    @F.pandas_udf("binary")
+    def first_bytes(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: read_start(p, probe_bytes))
+
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_a_trigger).load(directory)
-    rows = raw.select(F.col("path").alias("source_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("modificationTime").alias("arrived"), F.col("length").alias("size"), F.substring("content", 1, probe_bytes).alias("content"), F.lit(None).cast("string").alias("content_type"))
+    rows = raw.select(F.col("path").alias("source_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("modificationTime").alias("arrived"), F.col("length").alias("size"), first_bytes("path").alias("content"), F.lit(None).cast("string").alias("content_type"))
     return classify(rows)
 
 
