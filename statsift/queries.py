@@ -263,7 +263,7 @@ def q10_excluded_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.exclude(table(spark, sf_dir, "part"), ["PROMO", " small "], "p_type")[1]
 
 
-_TERMS = " ".join(f"WHEN contains(w, {_quoted(t)}) THEN {_quoted(c)}" for t, c in sorted(ancestry.terms().items(), key=lambda x: (-len(x[0]), [-ord(ch) for ch in x[0]])))
+_TERMS = " ".join(f"WHEN contains(w, {_quoted(t)}) THEN {_quoted(c)}" for t, c in sorted(ancestry.terms().items(), key=lambda x: -len(x[0])))
 _EXACT = " ".join(f"WHEN {_quoted(t)} THEN {_quoted(c)}" for t, c in ancestry.terms().items())
 
 
@@ -317,7 +317,7 @@ def q14_merge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- evaluation -------------------------------------------------------------
 
-_RATES = """round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall, round(tn / nullif(tn + fp, 0), 4) AS specificity,
+_RATES = """round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall, round(tp / nullif(tp + fn, 0), 4) AS sensitivity, round(tn / nullif(tn + fp, 0), 4) AS specificity,
     round(2 * tp / nullif(2 * tp + fp + fn, 0), 4) AS f1, round((tp + tn) / nullif(tp + fp + tn + fn, 0), 4) AS accuracy, round(fp / nullif(fp + tn, 0), 4) AS fpr, round(fn / nullif(fn + tp, 0), 4) AS fnr"""
 
 
@@ -387,10 +387,11 @@ def q19_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q20_probe_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines that prefixes of five sizes recover."""
     sizes = F.array(*map(F.lit, (64, 256, 1024, 4096, 16384)))
-    trials = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text", F.explode(sizes).alias("probe_bytes"))
-    head = F.substring("text", F.lit(1), F.col("probe_bytes"))
-    first = F.when(F.contains(head, F.lit("\n")), F.element_at(F.split(head, "\n"), 1))
-    return evaluate.probe_size_sweep(trials.select("source_id", "probe_bytes", first.alias("header"), F.length(head).alias("bytes_read")))
+    end = F.locate("\n", "text")  # the first line ends here; 0: nowhere
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.length("text").alias("chars"), end.alias("end"), F.when(end > 0, F.substring("text", F.lit(1), end - 1)).alias("line"))
+    trials = docs.select("source_id", "chars", "end", "line", F.explode(sizes).alias("probe_bytes"))
+    first = F.when((F.col("end") > 0) & (F.col("end") <= F.col("probe_bytes")), F.col("line"))
+    return evaluate.probe_size_sweep(trials.select("source_id", "probe_bytes", first.alias("header"), F.least("chars", "probe_bytes").alias("bytes_read")))
 
 
 @query("SELECT event_id, array_to_string(list_filter(json_keys(props), lambda k: NOT starts_with(k, '_')), '|') AS fields FROM events")
@@ -518,11 +519,16 @@ def q31_best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolver.resolve_files(entries)
 
 
+#: Rows of a table that make one file.
+_FILE_ROWS = 200
+
+
 def _tables_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's customers as a tab-separated file with a preamble."""
+    """Customers as tab-separated files with a preamble: a file for each nation and block of ids, of a bounded number of rows."""
     c = table(spark, sf_dir, "customer")
     line = F.concat_ws("\t", F.concat(F.lit("rs"), "c_custkey"), (F.col("c_nationkey") % 22 + 1).cast("string"), (F.col("c_custkey") + 1).cast("string"), F.lit("A"), F.lit("G"), F.format_number(F.col("c_acctbal") / 10000, 4), F.lit("0.01"), F.format_string("%.3f", F.col("c_custkey") % 1000 / 1000))
-    rows = c.groupBy(F.col("c_nationkey").cast("string").alias("source_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("rows"))  # a nation's customers make one small file
+    source = F.concat_ws("-", "c_nationkey", F.floor(F.col("c_custkey") / (25 * _FILE_ROWS)))
+    rows = c.groupBy(source.alias("source_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("rows"))  # a block has 25 times that many ids, dealt over 25 nations
     head = "# customers\n# as a table\nSNP\tCHR\tBP\tA1\tA2\tBETA\tSE\tP\n"
     return rows.select("source_id", F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"))
 

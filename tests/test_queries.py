@@ -3,6 +3,7 @@
 import pytest
 from helpers import DATA, canonical
 
+from statsift import cases  # noqa: F401  (registers its queries)
 from statsift.queries import QUERIES, SQL
 
 
