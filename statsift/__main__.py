@@ -1,62 +1,143 @@
-"""``python -m statsift scan|probe TARGET ...`` and ``python -m statsift extract FILE OUT``."""
+"""``python -m statsift COMMAND TARGET ...``: search, probe, assess, scan, download, extract, run, benchmark.
+
+Settings come from defaults, ``--config``, the environment (``STATSIFT_...``) and the options, the later over the earlier."""
 
 from __future__ import annotations
 
 import argparse
 import codecs
+import os
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statsift import session
-from statsift.operators import extract, header, mapping
+from statsift.functions import manifest
+from statsift.operators import discovery, evaluate, extract, header, mapping, samples
 from statsift.plans import triage
-from statsift.sources import sinks
+from statsift.settings import Settings, load
+from statsift.sources import catalogue, download, sinks
+
+FORMATS = ("table", "csv", "json", "html")
+
+
+def emit(result: DataFrame, command: str, how: str, output: str | None, **settings) -> None:
+    """A result on the terminal or in a file."""
+    if how == "table" or not output:
+        sinks.render_console(result)
+    elif how == "csv":
+        sinks.write_csv(result, output)
+    elif how == "json":
+        sinks.write_json(result, output, command, sinks.provenance(**settings))
+    else:
+        with open(output, "w", encoding="utf-8") as f:
+            f.write(sinks.render_page(command, (command, result)))
+
+
+def extract_table(spark: SparkSession, a: argparse.Namespace, probe_bytes: int) -> None:
+    source, out = a.targets
+    if not a.overwrite and os.path.exists(out):
+        raise SystemExit(f"exists: {out}")
+    decoded = triage.decode_prefixes(triage.probe(spark, [source], probe_bytes))
+    how = decoded.select("compression", "encoding").first()
+    if how and not extract.can_read(source, how["compression"]):
+        if (named := spark.conf.get("spark.checkpoint.dir", None)) is None and not spark.sparkContext.master.startswith("local["):
+            raise SystemExit("spark.checkpoint.dir names no folder that all executors share")
+        with tempfile.TemporaryDirectory(dir=named and named.removeprefix("file://")) as folder:
+            got = extract.unpack(decoded.select("source_id", "compression"), folder).first()
+            if got["category"]:
+                raise SystemExit(got["category"])
+            read_and_write(spark, a, got["path"], decoded, how)
+    else:
+        read_and_write(spark, a, source, decoded, how)
+
+
+def read_and_write(spark: SparkSession, a: argparse.Namespace, source: str, decoded: DataFrame, how) -> None:
+    if how and how["encoding"].startswith(("utf-16", "utf-32")):
+        raise SystemExit(f"unsupported_encoding: {how['encoding']}")
+    # the prefix alone may be ASCII
+    encoding = "UTF-8" if not how or how["encoding"] in ("ascii", "utf-8", "utf-8-sig") else codecs.lookup(how["encoding"]).name
+    found = header.detect_headers(header.explode_lines(decoded.select("source_id", "text")))
+    r = found.first()
+    if r is None:
+        raise SystemExit("header_not_found")
+    table = extract.read_table(spark, source, r["delimiter"], r["header_row"], r["header"], encoding)
+    names = dict(zip(table.columns, r["header"]))
+    if a.rename or a.rename_symbols:
+        mapped = mapping.map_columns(mapping.explode_header(found))
+        names |= {table.columns[x["ordinal"]]: x["new_name"] for x in mapping.renames(mapped, a.rename_symbols).collect()}
+    kept = table.filter(~F.coalesce(F.startswith(table.columns[0], F.lit("#")), F.lit(False)))
+    cleaned, report = extract.clean(kept, names, a.max_rows)
+    sinks.write_csv(cleaned, a.targets[1], delimiter={"tab": "\t", "comma": ",", "semicolon": ";"}[a.delimiter])
+    emit(report, "extract", "json" if a.report else "table", a.report)
+
+
+def studies_of(spark: SparkSession, a: argparse.Namespace, s: Settings) -> DataFrame:
+    """Studies from a Parquet table, or from the catalogue by the trait named."""
+    if a.studies:
+        return spark.read.parquet(a.studies)
+    found = catalogue.studies_by_trait(spark, " ".join(a.targets), s, s.limit, a.sumstats_only)
+    none = F.lit(None).cast("long")
+    texts = found.withColumn("s", samples.count_from_text(F.col("initial_sample")))
+    return texts.select("*", F.col("s.total").alias("n_total"), F.col("s.cases").alias("n_cases"), F.col("s.controls").alias("n_controls"), F.monotonically_increasing_id().alias("position"), none.alias("sidecar_n")).drop("s")
 
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="statsift")
-    parser.add_argument("command", choices=("probe", "scan", "extract"))
-    parser.add_argument("targets", nargs="+")
-    parser.add_argument("--probe-bytes", type=int, default=262_144)
-    parser.add_argument("--format", choices=("table", "csv", "json", "html"), default="table")
+    parser.add_argument("command", choices=("search", "probe", "assess", "scan", "download", "extract", "run", "benchmark"))
+    parser.add_argument("targets", nargs="*")
+    parser.add_argument("--config")
+    parser.add_argument("--probe-bytes", type=int)
+    parser.add_argument("--limit", type=int)
+    parser.add_argument("--format", choices=FORMATS)
     parser.add_argument("--output")
+    parser.add_argument("--studies", help="a Parquet table of studies, instead of the catalogue")
+    parser.add_argument("--population")
+    parser.add_argument("--exclude", action="append")
+    parser.add_argument("--sumstats-only", action="store_true")
     parser.add_argument("--max-rows", type=int)
+    parser.add_argument("--delimiter", choices=("tab", "comma", "semicolon"), default="tab")
     parser.add_argument("--rename", action="store_true")
+    parser.add_argument("--rename-symbols", action="store_true")
+    parser.add_argument("--emit-code", action="store_true")
+    parser.add_argument("--overwrite", action="store_true", default=None)
+    parser.add_argument("--md5")
+    parser.add_argument("--report")
+    parser.add_argument("--by", action="append", default=[])
     a = parser.parse_args(arguments)
+    s = load(a.config, probe_bytes=a.probe_bytes, limit=a.limit, output_format=a.format, overwrite=a.overwrite)
+    a.overwrite = s.overwrite
     spark = session.build()
     if a.command == "extract":
-        source, out = a.targets
-        decoded = triage.decode_prefixes(triage.probe(spark, [source], a.probe_bytes))
-        if (how := decoded.select("compression", "encoding").first()) and not extract.can_read(source, how["compression"]):
-            raise SystemExit(f"unsupported_compression: {how['compression']}")
-        if how and how["encoding"].startswith(("utf-16", "utf-32")):
-            raise SystemExit(f"unsupported_encoding: {how['encoding']}")
-        # the prefix alone may be ASCII
-        encoding = "UTF-8" if not how or how["encoding"] in ("ascii", "utf-8", "utf-8-sig") else codecs.lookup(how["encoding"]).name
-        found = header.detect_headers(header.explode_lines(decoded.select("source_id", "text")))
-        r = found.first()
-        if r is None:
-            raise SystemExit("header_not_found")
-        table = extract.read_table(spark, source, r["delimiter"], r["header_row"], r["header"], encoding)
-        names = dict(zip(table.columns, r["header"]))
-        if a.rename:
-            mapped = mapping.map_columns(mapping.explode_header(found))
-            names |= {table.columns[x["ordinal"]]: x["new_name"] for x in mapping.renames(mapped).collect()}
-        kept = table.filter(~F.coalesce(F.startswith(table.columns[0], F.lit("#")), F.lit(False)))
-        cleaned, report = extract.clean(kept, names, a.max_rows)
-        sinks.write_csv(cleaned, out, delimiter="\t")
-        sinks.render_console(report)
+        extract_table(spark, a, s.probe_bytes)
         return
-    result = triage.probe(spark, a.targets, a.probe_bytes).drop("content") if a.command == "probe" else triage.scan(spark, a.targets, a.probe_bytes)
-    if a.format == "table" or not a.output:
-        sinks.render_console(result)
-    elif a.format == "csv":
-        sinks.write_csv(result, a.output)
-    elif a.format == "json":
-        sinks.write_json(result, a.output, a.command, sinks.provenance(probe_bytes=a.probe_bytes))
+    if a.command == "probe":
+        result = triage.probe(spark, a.targets, s.probe_bytes).drop("content")
+    elif a.command == "scan":
+        result = triage.scan(spark, a.targets, s.probe_bytes)
+        if a.emit_code:
+            named = result.filter("header IS NOT NULL").select("source_id", "header")
+            result = mapping.rename_code(mapping.map_columns(mapping.explode_header(named)))
+    elif a.command == "assess":
+        result = triage.assess_urls(spark, a.targets, s.probe_bytes)
+    elif a.command == "download":
+        *urls, folder = a.targets
+        wanted = spark.createDataFrame([(u, u.split("?")[0].rstrip("/").rsplit("/", 1)[-1], a.md5) for u in urls], "source_id string, name string, md5 string")
+        result = download.download(wanted, folder, s.overwrite)
+    elif a.command == "search":
+        result = discovery.search(studies_of(spark, a, s), a.population, s.limit, a.exclude, a.sumstats_only)
+    elif a.command == "run":
+        found = discovery.search(studies_of(spark, a, s), a.population, s.limit, a.exclude, True)
+        urls = [r[0] for r in found.select("url").collect() if r[0]] if "url" in found.columns else []  # no more than the limit
+        verdicts = triage.assess_urls(spark, urls, s.probe_bytes) if urls else None
+        ranked = found.join(verdicts.withColumnRenamed("source_id", "url"), "url", "left") if verdicts else found.withColumn("verdict", F.lit("UNKNOWN"))
+        result = discovery.rank_candidates(ranked.withColumns({"api_sufficient": F.lit(False), "n": F.col("implied_n")}), s.limit)
     else:
-        with open(a.output, "w", encoding="utf-8") as f:
-            f.write(sinks.render_page(a.command, (a.command, result)))
+        rows = manifest.read_manifest(spark, a.targets[0])
+        sinks.render_console(evaluate.manifest_messages(rows))
+        result = triage.benchmark(rows, a.by)
+    emit(result, a.command, s.output_format, a.output, probe_bytes=s.probe_bytes)
 
 
 if __name__ == "__main__":

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import bz2
+import contextlib
+import gzip
+import hashlib
+import lzma
+import os
+import shutil
+import tarfile
+import zipfile
+from collections.abc import Iterator
+from typing import IO
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statsift.operators.payload import is_unsafe_member, pick_member
+
 QUOTED = r"""^(".*"|'.*')$"""
 #: Changes that would alter a value's meaning and are never made.
 DECLINED = ("log of odds ratios", "allele flipping", "coordinate lift-over", "filling of missing values")
@@ -16,6 +30,66 @@ def can_read(path: str, compression: str) -> bool:
     return compression == "none" or (path.lower().endswith(".gz") and compression in ("gzip", "bgzf")) or (path.lower().endswith(".bz2") and compression == "bzip2" and not path.lower().endswith(".tar.bz2"))
 
 
+#: What is unpacked is read and written so many bytes at a time.
+PIECE = 1 << 20
+
+
+def _stream(stack: contextlib.ExitStack, path: str, compression: str) -> tuple[str, IO[bytes]]:
+    """The name and the bytes of the data within a packed file; an archive's member is the one that probing picks."""
+    low = path.lower()
+    if compression == "zip":
+        archive = stack.enter_context(zipfile.ZipFile(path))
+        name = _picked([i.filename for i in archive.infolist() if not i.is_dir()])
+        return name, stack.enter_context(archive.open(name))
+    if compression.startswith("tar") or low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")):
+        archive = stack.enter_context(tarfile.open(path))
+        name = _picked([m.name for m in archive if m.isfile()])
+        return name, stack.enter_context(archive.extractfile(name))
+    if compression == "zstd":
+        import zstandard
+
+        return path, stack.enter_context(zstandard.open(path, "rb"))
+    opener = {"xz": lzma.open, "gzip": gzip.open, "bgzf": gzip.open, "bzip2": bz2.open}.get(compression)
+    if opener is None:
+        raise ValueError(f"unsupported_compression: {compression}")
+    return path, stack.enter_context(opener(path))
+
+
+def _picked(names: list[str]) -> str:
+    name = pick_member(names)
+    if name is None:
+        raise ValueError("archive_without_data")
+    if is_unsafe_member(name):
+        raise ValueError(f"unsafe_member: {name}")
+    return name
+
+
+def unpack(packed: DataFrame, folder: str) -> DataFrame:
+    """``source_id, compression`` to ``source_id, path, category``: what is within, as files in a folder that all tasks see.
+
+    A task streams each file, whatever its size; a failure is a row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for frame in frames:
+            rows = []
+            for source, compression in zip(frame["source_id"], frame["compression"]):
+                out = os.path.join(folder, hashlib.sha256(source.encode()).hexdigest())
+                try:
+                    with contextlib.ExitStack() as stack:
+                        name, data = _stream(stack, source, compression)
+                        out += ".gz" if name != source and name.lower().endswith(".gz") else ""
+                        shutil.copyfileobj(data, stack.enter_context(open(out, "wb")), PIECE)
+                    rows.append((source, out, None))
+                except ValueError as e:
+                    rows.append((source, None, str(e)))
+                except (OSError, EOFError, lzma.LZMAError, zipfile.BadZipFile, tarfile.TarError) as e:
+                    rows.append((source, None, f"decompression_error: {e}"))
+            yield pd.DataFrame(rows, columns=["source_id", "path", "category"])
+
+    return packed.select("source_id", "compression").mapInPandas(run, "source_id string, path string, category string")
+
+
 def read_table(spark: SparkSession, path: str, delimiter: str, header_row: int, header: list[str], encoding: str = "UTF-8", comment: str | None = None) -> DataFrame:
     """A delimited file whose layout is known: every column a string, names kept as they are.
 
