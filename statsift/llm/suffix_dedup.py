@@ -22,7 +22,9 @@ earlier: in a document with a smaller id, or earlier in the same one.
 Defined cases: a null text is an empty one; texts shorter than ``length`` lose
 nothing; null ids come before all others; rows that share an id and a text are
 one document, rows that share an id but not a text are versions of it (a string
-at the same start in another version is not earlier); empty tables give no rows.
+at the same start in another version is not earlier); a very long text is cut into
+segments part by part, but held by one task; ``length`` is at most ``MOST_LENGTH``, else
+a ValueError; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ LENGTH = 100
 ANCHOR = 32
 BLOCK = 1 << 20
 HOT = 4096
+#: A segment has at most ``length`` - ``ANCHOR`` + 1 windows, which seven bits must hold.
+MOST_LENGTH = ANCHOR + 126
 #: Bits of a place in a buffer, below the hash that decides an anchor.
 PLACE = 26
 #: Windows of a longer text are cut into segments a part at a time.
@@ -147,7 +151,8 @@ def _segment_rows(batch: pa.RecordBatch, length: int) -> pa.Table:
     who, packed, anchor, digest = map(np.concatenate, columns)
     order = np.lexsort((packed, rank[who], digest, anchor))
     who, packed, anchor, digest = who[order], packed[order], anchor[order], digest[order]
-    same = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])))
+    same = np.zeros(len(who), bool)
+    same[1:] = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])
     lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same)))) if len(same) else np.zeros(0, np.int64)
     again = same & ((rank[who] != rank[who[lead]]) | (packed >> 31 != packed[lead] >> 31))
     anchor = np.where(again, (rank[who].view(np.uint64) + packed.view(np.uint64)) * _ODD, anchor)
@@ -370,6 +375,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """``doc_id, mark, low, high``: the bytes [low, high) of a text are covered by repeats.
 
     The segments are compared when this is called."""
+    if not 1 <= length <= MOST_LENGTH:
+        raise ValueError(f"length {length} is not in 1 to {MOST_LENGTH}")
     rows = c.pick(docs, doc_id=id_col, text=text_col)
     found = rows.mapInArrow(c.per_batch(_segment_rows, length=length), SEGMENTS)
     different = F.sum(F.col("lead").cast("long")).over(Window.partitionBy("anchor"))
@@ -419,8 +426,10 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
-    listed = spans.groupBy(F.col("doc_id").alias("__span_doc")).agg(F.collect_list(F.struct("mark", "low", "high")).alias("__spans"))
-    return docs.join(listed, docs[id_col].eqNullSafe(listed["__span_doc"]), "left").drop("__span_doc")
+    taken = {x.lower() for x in docs.columns}
+    key, spans_of = (next(n for n in (f"{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("__span_doc", "__spans"))
+    listed = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("mark", "low", "high")).alias(spans_of))
+    return docs.join(listed, docs[id_col].eqNullSafe(listed[key]), "left").drop(key)
 
 
 def _own(spans: list[dict] | None, data: bytes) -> list[tuple[int, int]]:
@@ -435,7 +444,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     def summarise(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column(2).to_pylist()):
             data = (text or "").encode()
             own = _own(spans, data)
             rows.append((len(data), sum(b - a for a, b in own), len(own), hashlib.sha256(without(data, own)).hexdigest()))

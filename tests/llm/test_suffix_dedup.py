@@ -105,3 +105,28 @@ def test_empty(empty):
 def test_spans():
     assert s.merged([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
     assert s.without(b"0123456789", [(0, 2), (5, 6)]) == b"2346789"
+
+
+def test_clashing_names_and_lengths(spark, odd_rows):
+    """Columns under the operator's own working names stay; a length that a segment cannot hold is refused."""
+    docs = spark.createDataFrame([(r[0], r[1], f"mine {i}", i) for i, r in enumerate(odd_rows)], "doc_id long, text string, __span_doc string, __spans int")
+    out = s.remove_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["__spans"] for r in out.collect()) == list(range(len(odd_rows)))
+    for length in (0, 159):
+        with pytest.raises(ValueError):
+            s.dedup(docs, length)
+
+
+def test_short_texts_alone(spark):
+    """A table whose texts are all shorter than a window."""
+    got = s.dedup(spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (None, "")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == [(0, 0, 0, 0), (1, 1, 0, 0), (2, 0, 0, 0), (3, 1, 0, 0)]
+
+
+def test_a_very_long_text(spark):
+    """Two megabytes of one text, of which the second half repeats."""
+    rng = random.Random(4)
+    half = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
+    got = s.dedup(spark.createDataFrame([(1, half + half), (2, "short")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in got} == {1: (2_000_000, 1_000_000), 2: (5, 0)}
