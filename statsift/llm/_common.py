@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,11 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names.  Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place."""
+    It is what ``spark.checkpoint.dir`` names.  Only where that is unset and all
+    runs in one process, as in tests, a temporary folder takes its place; on a
+    cluster that is a RuntimeError."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="statsift-")
+        known = spark.sparkContext.getCheckpointDir()
+        if not known and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = known or "file://" + tempfile.mkdtemp(prefix="statsift-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 

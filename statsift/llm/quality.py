@@ -15,7 +15,9 @@ smallest hash; the driver and each task hold that and one number a bucket.
 
 Defined cases: a null text has no words and fails the base rules; null ids and
 repeated rows are scored like any others (a null id is never trusted); without
-labels every ratio is 0; an empty table gives no rows.
+labels every ratio is 0; a score that equals the threshold is kept; a very long text
+is held by one task with its words and eight bytes for each of their n-grams; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

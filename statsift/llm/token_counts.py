@@ -5,7 +5,9 @@ joined to the counts stored for the same tokenizer version.  Only the distinct
 misses are encoded; their counts are appended to the cache.
 
 Defined cases: a null text counts as an empty one (0 bytes, 0 tokens); repeated
-texts share one cache entry; rows keep their ids, repeated ids included; empty
+texts share one cache entry; a very long text is encoded by one task, which holds it
+and its ids; of stored counts for the same digest, which are equal, any may be taken;
+rows keep their ids, repeated ids included; empty
 tables give no rows; other columns of the input are never looked at.
 """
 
