@@ -217,7 +217,8 @@ def q07_value_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of columns against their concepts' domains."""
     columns = {"p_value": F.col("l_discount"), "effect_allele_frequency": F.col("l_tax"), "sample_size": F.col("l_quantity"), "minor_allele_frequency": F.col("l_discount") * 10, "info_score": F.col("l_quantity") / 20}
     tall = table(spark, sf_dir, "lineitem").select("l_returnflag", F.inline(F.array(*(F.struct(F.lit(k).alias("concept"), v.cast("string").alias("cell")) for k, v in columns.items()))))
-    counts = tall.groupBy("l_returnflag", "concept").agg(F.count("*").alias("tested"), F.count_if(validation.is_valid(F.col("concept"), F.col("cell"))).alias("valid"))
+    numbered = tall.withColumn("number", cells.finite(F.col("cell")))
+    counts = numbered.groupBy("l_returnflag", "concept").agg(F.count("*").alias("tested"), F.count_if(validation.is_valid(F.col("concept"), F.col("cell"), F.col("number"))).alias("valid"))
     return counts.withColumn("status", validation.status_of(F.col("valid") / F.col("tested")))
 
 
