@@ -72,12 +72,12 @@ _NORMAL = f"regexp_replace(regexp_replace(regexp_replace(lower(x), '{_FOLD}', '_
 
 @query(
     f"""WITH t AS (SELECT 'd' || doc_id AS id, string_split(text, chr(10))[1] AS x FROM documents UNION ALL SELECT 'p' || p_partkey, p_name FROM part)
-    SELECT id, {_NORMAL} AS name FROM t WHERE regexp_full_match(x, '[\\x00-\\x7F]*')"""
+    , u AS (SELECT id, regexp_replace(translate(lower(replace(coalesce(x, ''), chr(65279), '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\x{{0300}}-\\x{{036f}}]', '', 'g') AS x FROM t)
+    SELECT id, {_NORMAL} AS name FROM u"""
 )
 def q03_normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: names in their form for comparison, of first lines and part names in ASCII."""
-    both = _names(spark, sf_dir).filter(F.col("x").rlike(r"^[\x00-\x7F]*$"))
-    return both.select("id", cells.normalised_name(F.col("x")).alias("name"))
+    """M1: names in their form for comparison, of all first lines and part names."""
+    return _names(spark, sf_dir).select("id", cells.normalised_name(F.col("x")).alias("name"))
 
 
 @query()
@@ -140,25 +140,23 @@ def q04_first_for_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- lines and delimiters ---------------------------------------------------
 
-_LINES = """raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE NOT contains(text, '"')),
+_LINES = """raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
     cut AS (SELECT doc_id, CASE WHEN len(parts) > 1 THEN parts[1:len(parts) - 1] ELSE parts END AS parts FROM raw),
     lines AS (SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS line_idx, unnest(parts) AS line FROM cut),
     marked AS (SELECT *, trim(line, ' ' || chr(9)) AS bare, regexp_matches(line, '^\\s*(#|!|;;|//)') AS comment FROM lines)"""
 
 
-def _document_lines(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
-    """Lines of documents; those with a quote only where ``quotes``, as the SQL does not split quoted cells."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
-    return header.explode_lines(docs if quotes else docs.filter(~F.contains("text", F.lit('"'))))
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return header.explode_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
 
 
 @query(
     f"""WITH {_LINES}, first AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS nth FROM marked WHERE bare <> '' AND NOT comment),
     delims(o, d) AS (VALUES (0, chr(9)), (1, ','), (2, ';'), (3, ' '), (4, '|')),
-    sized AS (SELECT doc_id, o, d, line_idx, CASE WHEN d = ' ' THEN len(regexp_split_to_array(bare, '\\s+')) ELSE len(string_split(line, d)) END AS fields FROM first, delims WHERE nth <= 20),
+    sized AS (SELECT doc_id, o, d, line_idx, CASE WHEN d = ' ' THEN len(regexp_split_to_array(bare, '\\s+')) ELSE len(string_split(CASE WHEN contains(line, '"') THEN regexp_replace(line, '(^|' || CASE d WHEN '|' THEN '\\|' ELSE d END || ') *"(?:[^"]|"")*(?:"[^' || d || ']*)?', '\\1q', 'g') ELSE line END, d)) END AS fields FROM first, delims WHERE nth <= 20),
     counts AS (SELECT doc_id, o, d, fields, count(*) AS n, min(line_idx) AS seen FROM sized GROUP BY ALL),
     modal AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, o) AS total, row_number() OVER (PARTITION BY doc_id, o ORDER BY n DESC, seen) AS mode FROM counts),
-    scored AS (SELECT *, 10 * (n / total) + 0.1 * least(fields, 30) + CASE WHEN o = 0 THEN 0.35 ELSE 0 END AS score FROM modal WHERE mode = 1 AND fields > 1),
+    scored AS (SELECT *, 10 * (n / total) + 0.1::DOUBLE * least(fields, 30) + CASE WHEN o = 0 THEN 0.35::DOUBLE ELSE 0 END AS score FROM modal WHERE mode = 1 AND fields > 1),
     best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, o) AS nth FROM scored)
     SELECT doc_id, d AS delimiter, CAST(fields AS INTEGER) AS fields, round(n / total, 4) AS confidence FROM best WHERE nth = 1"""
 )
@@ -170,7 +168,7 @@ def q05_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q05_every_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of all documents, quoted cells included."""
-    return header.detect_delimiter(_document_lines(spark, sf_dir, quotes=True)).withColumnRenamed("source_id", "doc_id")
+    return header.detect_delimiter(_document_lines(spark, sf_dir)).withColumnRenamed("source_id", "doc_id")
 
 
 @query(
@@ -188,7 +186,7 @@ def q06_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q06_every_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of all documents, quoted cells included."""
-    return _look_ahead(_document_lines(spark, sf_dir, quotes=True))
+    return _look_ahead(_document_lines(spark, sf_dir))
 
 
 def _look_ahead(lines: DataFrame) -> DataFrame:
