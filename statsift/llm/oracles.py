@@ -58,4 +58,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({firsts}) AS BIGINT)
     {labels(len(base))} AS base_labels, {labels(len(templates))} AS labels, round(least(1.0, greatest({score})), 6) AS score FROM p, i"""
 
 
-ORACLES = {"op1_suffix_dedup": OP1, "op3_minhash_near_dedup": OP3, "op4_license_scan": op4()}
+def op11(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Clustering with every distance in full; a round is two tables."""
+    start = f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND list_count(embedding) = {dims} AND NOT list_contains(list_transform(embedding, lambda x: isfinite(x)), false)),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS k, v AS c FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k})"""
+    steps = [start]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(k, d * {k} + k) AS k, min(d) AS d
+    FROM (SELECT vec_id, v, k, CAST(list_sum(list_transform(range(1, {dims + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS d FROM v, c{i}) GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT k, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, {dims + 1}) AS r(i) GROUP BY k, i),
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{i} LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{i} GROUP BY k) USING (k))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+OP12 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE list_count(embedding) = len(embedding) AND NOT list_contains(list_transform(embedding, lambda x: isfinite(x)), false)),
+p AS (SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
+    FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 20"""
+
+OP13 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS s FROM documents),
+h AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS t, CAST('0x' || substr(s, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(s, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(s, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(t) AS n, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(t[1:a], '') AS pre, array_to_string(t[a + 1:b], '') AS mid, array_to_string(t[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+ORACLES = {"op1_suffix_dedup": OP1, "op3_minhash_near_dedup": OP3, "op4_license_scan": op4(), "op11_centroid_clustering": op11(), "op12_exact_top_k": OP12, "op13_fill_in_middle": OP13}

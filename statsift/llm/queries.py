@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statsift.llm import licenses, media, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files, transducer
+from statsift.llm import centroids, fim, licenses, media, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files, top_k, transducer
 from statsift.llm.oracles import ORACLES
 
 
@@ -64,9 +65,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(index)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64).drop("query_uid")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = fim.restore(fim.transform(_table(spark, sf_dir, "documents"), seed=1))
+    digest = lambda name: F.sha2(F.col(name).cast("binary"), 256)
+    return rebuilt.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """``opN_<name>`` of each operator of this subpackage."""
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_minhash_near_dedup, op4_license_scan, op5_sharding, op6_quality_rules, op7_bpe_transducer, op8_media_columns, op9_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_minhash_near_dedup, op4_license_scan, op5_sharding, op6_quality_rules, op7_bpe_transducer, op8_media_columns, op9_token_counts, op10_token_files, op11_centroid_clustering, op12_exact_top_k, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
