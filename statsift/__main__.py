@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from statsift import session
 from statsift.functions import manifest
-from statsift.operators import discovery, evaluate, extract, header, mapping, samples
-from statsift.plans import triage
+from statsift.operators import discovery, evaluate, extract, header, mapping
+from statsift.plans import accessions, batches, searching, triage
 from statsift.settings import Settings, load
-from statsift.sources import catalogue, download, sinks
+from statsift.sources import download, kept, sinks
 
 FORMATS = ("table", "csv", "json", "html")
 
@@ -35,11 +35,16 @@ def emit(result: DataFrame, command: str, how: str, output: str | None, **settin
             f.write(sinks.render_page(command, (command, result)))
 
 
-def extract_table(spark: SparkSession, a: argparse.Namespace, probe_bytes: int) -> None:
+def transfer(s: Settings) -> dict:
+    """The options of ``bounded_prefix`` that the settings hold."""
+    return {"transport": s.transport, "requestsPerSecond": s.requests_per_second, "retries": s.retries}
+
+
+def extract_table(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     source, out = a.targets
     if not a.overwrite and os.path.exists(out):
         raise SystemExit(f"exists: {out}")
-    decoded = triage.decode_prefixes(triage.probe(spark, [source], probe_bytes))
+    decoded = triage.decode_prefixes(triage.probe(spark, [source], s.probe_bytes, **transfer(s)))
     how = decoded.select("compression", "encoding").first()
     if how and not extract.can_read(source, how["compression"]):
         if (named := spark.conf.get("spark.checkpoint.dir", None)) is None and not spark.sparkContext.master.startswith("local["):
@@ -73,14 +78,36 @@ def read_and_write(spark: SparkSession, a: argparse.Namespace, source: str, deco
     emit(report, "extract", "json" if a.report else "table", a.report)
 
 
-def studies_of(spark: SparkSession, a: argparse.Namespace, s: Settings) -> DataFrame:
-    """Studies from a Parquet table, or from the catalogue by the trait named."""
+def texts_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The searches named: one of all targets."""
+    return spark.createDataFrame([("search", " ".join(a.targets))], "source_id string, text string")
+
+
+def search(spark: SparkSession, a: argparse.Namespace, s: Settings) -> DataFrame:
+    """Studies from a Parquet table, or from the catalogue; ``--check-files`` asks which files are there."""
     if a.studies:
-        return spark.read.parquet(a.studies)
-    found = catalogue.studies_by_trait(spark, " ".join(a.targets), s, s.limit, a.sumstats_only)
-    none = F.lit(None).cast("long")
-    texts = found.withColumn("s", samples.count_from_text(F.col("initial_sample")))
-    return texts.select("*", F.col("s.total").alias("n_total"), F.col("s.cases").alias("n_cases"), F.col("s.controls").alias("n_controls"), F.monotonically_increasing_id().alias("position"), none.alias("sidecar_n")).drop("s")
+        return discovery.search(spark.read.parquet(a.studies), a.population, s.limit, a.exclude, a.sumstats_only)
+    found, left_out = searching.search(texts_of(spark, a), s, a.population, s.limit, a.exclude, a.sumstats_only)
+    for r in left_out.filter("excluded > 0").collect():  # one row a search
+        print(f"left out by trait: {r['excluded']} of {r['of']}")
+    if a.check_files:
+        found = found.join(accessions.check_files(found, s), "accession", "left")
+    return found.orderBy("rank")
+
+
+def run(spark: SparkSession, a: argparse.Namespace, s: Settings) -> DataFrame:
+    """Search, assess, rank; a Parquet table of studies may name each file by ``url``, else they go by accession."""
+    if not a.studies:
+        return searching.run(texts_of(spark, a), s, a.population, s.limit, a.exclude).orderBy("place")
+    found = kept.keep(discovery.search(spark.read.parquet(a.studies), a.population, s.limit, a.exclude, True), "found")
+    if "url" in found.columns:
+        target = F.coalesce("url", "accession")
+    else:
+        target = F.col("accession")
+    named = found.withColumn("target", target)
+    verdicts = accessions.assess_targets(named.select("target"), s).select("target", "verdict", "route", "category", "missing", "uncertain", "declared_by")
+    ranked = named.join(verdicts, "target", "left").withColumns({"api_sufficient": F.col("declared_by").isNotNull(), "n": F.col("implied_n")})
+    return discovery.rank_candidates(ranked, s.limit)
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -96,6 +123,11 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--population")
     parser.add_argument("--exclude", action="append")
     parser.add_argument("--sumstats-only", action="store_true")
+    parser.add_argument("--check-files", action="store_true")
+    parser.add_argument("--harmonised", choices=("auto", "yes", "no"))
+    parser.add_argument("--force-probe", action="store_true")
+    parser.add_argument("--no-api", action="store_true")
+    parser.add_argument("--run", help="benchmark: a folder for the predictions, which an interrupted run goes on from")
     parser.add_argument("--max-rows", type=int)
     parser.add_argument("--delimiter", choices=("tab", "comma", "semicolon"), default="tab")
     parser.add_argument("--rename", action="store_true")
@@ -110,31 +142,30 @@ def main(arguments: list[str] | None = None) -> None:
     a.overwrite = s.overwrite
     spark = session.build()
     if a.command == "extract":
-        extract_table(spark, a, s.probe_bytes)
+        extract_table(spark, a, s)
         return
     if a.command == "probe":
-        result = triage.probe(spark, a.targets, s.probe_bytes).drop("content")
+        result = triage.probe(spark, a.targets, s.probe_bytes, **transfer(s)).drop("content")
     elif a.command == "scan":
-        result = triage.scan(spark, a.targets, s.probe_bytes)
+        result = triage.scan(spark, a.targets, s.probe_bytes, **transfer(s))
         if a.emit_code:
             named = result.filter("header IS NOT NULL").select("source_id", "header")
             result = mapping.rename_code(mapping.map_columns(mapping.explode_header(named)))
     elif a.command == "assess":
-        result = triage.assess_urls(spark, a.targets, s.probe_bytes)
+        targets = spark.createDataFrame([(t,) for t in a.targets], "target string")
+        result = accessions.assess_targets(targets, s, prefer=a.harmonised, force_probe=a.force_probe, skip_structured=a.no_api)
     elif a.command == "download":
         *urls, folder = a.targets
         wanted = spark.createDataFrame([(u, u.split("?")[0].rstrip("/").rsplit("/", 1)[-1], a.md5) for u in urls], "source_id string, name string, md5 string")
         result = download.download(wanted, folder, s.overwrite)
     elif a.command == "search":
-        result = discovery.search(studies_of(spark, a, s), a.population, s.limit, a.exclude, a.sumstats_only)
+        result = search(spark, a, s)
     elif a.command == "run":
-        found = discovery.search(studies_of(spark, a, s), a.population, s.limit, a.exclude, True)
-        urls = [r[0] for r in found.select("url").collect() if r[0]] if "url" in found.columns else []  # no more than the limit
-        verdicts = triage.assess_urls(spark, urls, s.probe_bytes) if urls else None
-        ranked = found.join(verdicts.withColumnRenamed("source_id", "url"), "url", "left") if verdicts else found.withColumn("verdict", F.lit("UNKNOWN"))
-        result = discovery.rank_candidates(ranked.withColumns({"api_sufficient": F.lit(False), "n": F.col("implied_n")}), s.limit)
+        result = run(spark, a, s)
     else:
         rows = manifest.read_manifest(spark, a.targets[0])
+        if a.run:
+            rows = batches.predicted(rows, s, a.run)
         sinks.render_console(evaluate.manifest_messages(rows))
         result = triage.benchmark(rows, a.by)
     emit(result, a.command, s.output_format, a.output, probe_bytes=s.probe_bytes)

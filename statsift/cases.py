@@ -438,7 +438,7 @@ def c_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many warnings each part's concepts give."""
     listed = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), F.posexplode(F.split(nth(F.col("p_partkey"), [",".join(c) for c, _ in _CONCEPTS_OF], "string"), ",")).alias("ordinal", "concept"))
     mapped = listed.withColumns({"raw": F.col("concept"), "normalised": F.col("concept"), "confidence": F.lit(1.0), "method": F.lit("canonical")})
-    none = listed.limit(0).select("source_id", F.col("concept").alias("raw"), F.lit("PASS").alias("status"), F.lit(None).cast("string").alias("suggested_concept"))
+    none = listed.limit(0).select("source_id", F.col("concept").alias("raw"), "concept", F.lit("PASS").alias("status"), F.lit(None).cast("string").alias("suggested_concept"))
     return readiness.warnings(mapped, none).groupBy("source_id").agg(F.count("*").alias("warnings"))
 
 

@@ -15,26 +15,28 @@ _STUDY_V1 = "accessionId string, diseaseTrait struct<trait:string>, initialSampl
 _SIDECAR = "gwas_id string, trait_description array<string>, genome_assembly string, file_type string, data_file_name string, data_file_md5sum string, is_harmonised string, is_sorted string, samples array<struct<sample_ancestry_category:array<string>,sample_size:string,case_control_study:string,case_count:string,control_count:string>>"
 
 
-def studies_v2(pages: DataFrame, body: str = "body") -> DataFrame:
-    """Studies from the newer route's JSON."""
+def studies_v2(pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Studies from the newer route's JSON; ``keep``: columns of the pages that go along."""
     s = F.from_json(body, _STUDY_V2)
-    return pages.select(s.alias("s")).select(
-        F.col("s.accession_id").alias("accession"), blank_to_null(F.col("s.disease_trait")).alias("trait"),
+    return pages.select(*keep, s.alias("s")).select(
+        *keep, F.col("s.accession_id").alias("accession"), blank_to_null(F.col("s.disease_trait")).alias("trait"),
         F.transform("s.efo_traits", lambda t: t["efo_trait"]).alias("mapped_traits"), blank_to_null(F.col("s.initial_sample_size")).alias("initial_sample"),
         blank_to_null(F.col("s.replication_sample_size")).alias("replication_sample"), F.col("s.full_summary_stats_available").alias("has_sumstats"),
         F.col("s.pubmed_id").alias("pubmed_id"), year_of(F.col("s.publication_date")).alias("year"), F.col("s.discovery_ancestry").alias("ancestries"), F.col("s.cohort").alias("cohorts"),
+        blank_to_null(F.col("s.full_summary_stats")).alias("location"), F.lit(None).cast("long").alias("study_n"),
     )
 
 
-def studies_v1(pages: DataFrame, body: str = "body") -> DataFrame:
-    """Studies from the older route's JSON; its cohorts are one string with bars."""
+def studies_v1(pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Studies from the older route's JSON; its cohorts are one string with bars, its discovery numbers add up."""
     s = F.from_json(body, _STUDY_V1)
     groups = F.flatten(F.transform(F.filter("s.ancestries", lambda a: a["type"] == "initial"), lambda a: F.transform(a["ancestralGroups"], lambda g: g["ancestralGroup"])))
-    return pages.select(s.alias("s")).select(
-        F.col("s.accessionId").alias("accession"), blank_to_null(F.col("s.diseaseTrait.trait")).alias("trait"), F.lit(None).cast("array<string>").alias("mapped_traits"),
+    return pages.select(*keep, s.alias("s")).select(
+        *keep, F.col("s.accessionId").alias("accession"), blank_to_null(F.col("s.diseaseTrait.trait")).alias("trait"), F.lit(None).cast("array<string>").alias("mapped_traits"),
         blank_to_null(F.col("s.initialSampleSize")).alias("initial_sample"), blank_to_null(F.col("s.replicationSampleSize")).alias("replication_sample"),
         F.col("s.fullPvalueSet").alias("has_sumstats"), F.col("s.publicationInfo.pubmedId").alias("pubmed_id"), year_of(F.col("s.publicationInfo.publicationDate")).alias("year"),
         F.array_distinct(groups).alias("ancestries"), F.filter(F.split("s.cohort", r"\|"), lambda c: c != "").alias("cohorts"),
+        F.lit(None).cast("string").alias("location"), discovery_n(F.col("s.ancestries")).alias("study_n"),
     )
 
 
@@ -49,7 +51,7 @@ def sidecars(texts: DataFrame, text: str = "text") -> DataFrame:
     s = F.from_json(parse_yaml(F.col(text)), _SIDECAR)
     total = lambda name: F.nullif(F.aggregate(F.transform("s.samples", lambda x: F.coalesce(as_int(x[name]), F.lit(0))), F.lit(0).cast("bigint"), lambda x, y: x + y), F.lit(0).cast("bigint"))
     return texts.select("source_id", s.alias("s")).select(
-        "source_id", F.col("s.gwas_id").alias("accession"), "s.trait_description", "s.genome_assembly", "s.file_type", "s.data_file_name", F.lower("s.data_file_md5sum").alias("md5"),
+        "source_id", F.col("s").isNotNull().alias("readable"), F.col("s.gwas_id").alias("accession"), "s.trait_description", "s.genome_assembly", "s.file_type", "s.data_file_name", F.lower("s.data_file_md5sum").alias("md5"),
         as_flag(F.col("s.is_harmonised")).alias("is_harmonised"), as_flag(F.col("s.is_sorted")).alias("is_sorted"),
         total("sample_size").alias("sidecar_n"), total("case_count").alias("sidecar_cases"), total("control_count").alias("sidecar_controls"),
         F.try_element_at(F.filter(F.transform("s.samples", lambda x: as_flag(x["case_control_study"])), lambda x: x.isNotNull()), F.lit(1)).alias("case_control"),

@@ -49,10 +49,15 @@ def search(studies: DataFrame, population: str | None = None, limit: int = 25, e
     return ranked.limit(limit)
 
 
+def candidate_order() -> list[Column]:
+    """READY before PARTIAL before NOT_READY, sufficient metadata, sample size, year, then as they came."""
+    order = F.when(F.col("verdict") == "READY", 3).when(F.col("verdict") == "PARTIAL", 2).when(F.col("verdict") == "NOT_READY", 1).otherwise(0)
+    return [F.desc(order), F.desc(F.coalesce("api_sufficient", F.lit(False))), F.desc(F.coalesce("n", F.lit(0))), F.desc(F.coalesce("year", F.lit(0))), F.asc("position")]
+
+
 def rank_candidates(assessed: DataFrame, limit: int = 10) -> DataFrame:
     """Assessed studies by verdict, sufficient metadata, sample size and year."""
-    order = F.when(F.col("verdict") == "READY", 3).when(F.col("verdict") == "PARTIAL", 2).when(F.col("verdict") == "NOT_READY", 1).otherwise(0)
-    return assessed.orderBy(F.desc(order), F.desc(F.coalesce("api_sufficient", F.lit(False))), F.desc(F.coalesce("n", F.lit(0))), F.desc(F.coalesce("year", F.lit(0))), "position").limit(limit)
+    return assessed.orderBy(*candidate_order()).limit(limit)
 
 
 def availability(found: Column, category: Column) -> Column:

@@ -11,8 +11,11 @@ _ROW = r'(?is)<a href="([^"?][^"]*)">[^<]+</a>\s*</td>\s*<td[^>]*>([^<]*)</td>\s
 _LINK = r'(?i)<a href="([^"?][^"]*)">[^<]+</a>'
 
 
-def directory_url(base: Column, accession: Column) -> Column:
-    """Where an accession's files are."""
+def directory_url(base: Column, accession: Column, hint: Column | None = None) -> Column:
+    """Where an accession's files are: where its study says, over https, else by its block."""
+    if hint is not None:
+        told = F.regexp_replace(F.regexp_replace(hint, "^ftp://", "https://"), "^http://ftp[.]ebi[.]ac[.]uk", "https://ftp.ebi.ac.uk")
+        return F.coalesce(F.concat(F.regexp_replace(told, "/+$", ""), F.lit("/")), directory_url(base, accession))
     return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), accession_block(accession), F.lit("/"), accession, F.lit("/"))
 
 
@@ -43,8 +46,8 @@ def file_score(name: Column, size: Column, harmonised: Column, prefer: Column, a
     return F.when(file_kind(name) != "data", -100.0).otherwise(form + place + suffix + named + large)
 
 
-def resolve_files(entries: DataFrame, prefer: str = "auto") -> DataFrame:
-    """The best data file of each source, its score and its lead.
+def resolve_files(entries: DataFrame, prefer: str = "auto", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The best data file of each source, its score and its lead; ``keep``: columns of its entry that go along.
 
     ``entries``: ``source_id, ordinal, name, size, harmonised, accession``.
     ``prefer``: ``yes`` keeps harmonised files alone, ``no`` the others, ``auto`` both."""
@@ -53,7 +56,7 @@ def resolve_files(entries: DataFrame, prefer: str = "auto") -> DataFrame:
     scored = entries.withColumn("score", file_score(F.col("name"), F.col("size"), F.col("harmonised"), F.lit(prefer != "no"), F.col("accession")))
     order = Window.partitionBy("source_id").orderBy(F.desc("score"), "ordinal")
     ranked = scored.filter("score > -100").withColumns({"rank": F.row_number().over(order), "runner_up": F.lead("score").over(order)})
-    return ranked.filter("rank = 1").select("source_id", "name", "size", F.round("score", 6).alias("score"), F.round(F.col("score") - F.col("runner_up"), 6).alias("gap"))
+    return ranked.filter("rank = 1").select("source_id", "name", "size", F.round("score", 6).alias("score"), F.round(F.col("score") - F.col("runner_up"), 6).alias("gap"), *keep)
 
 
 def nothing_left(entries: DataFrame, resolved: DataFrame) -> DataFrame:
