@@ -63,7 +63,7 @@ def read_and_write(spark: SparkSession, a: argparse.Namespace, source: str, deco
         raise SystemExit(f"unsupported_encoding: {how['encoding']}")
     # the prefix alone may be ASCII
     encoding = "UTF-8" if not how or how["encoding"] in ("ascii", "utf-8", "utf-8-sig") else codecs.lookup(how["encoding"]).name
-    found = header.detect_headers(header.explode_lines(decoded.select("source_id", "text")))
+    found = header.headers_of_texts(decoded.select("source_id", "text"))
     r = found.first()
     if r is None:
         raise SystemExit("header_not_found")

@@ -325,17 +325,18 @@ _SPELLED = [
     ("sex_maf", "sex_maf", "minor_allele_frequency", "heuristic", 0.68), ("trait_eaf", "trait_eaf", "effect_allele_frequency", "heuristic", 0.7), ("lead_stderr", "lead_stderr", "standard_error", "heuristic", 0.7),
     ("color", "color", "unknown", "unknown", 0.0), ("dirion", "dirion", "unknown", "unknown", 0.0), ("chrom_hg18", "chrom_hg18", "unknown", "unknown", 0.0), ("r2_rsq", "r2_rsq", "unknown", "unknown", 0.0), ("neg_log10_p_value", "neg_log10_p_value", "neg_log10_p_value", "canonical", 1.0),
     ("chromosome_position_reference_allele_other_allele_b37", "chromosome_position_reference_allele_other_allele_b37", "variant_id", "alias", 0.95), ("hazard_ratio_adj", "hazard_ratio_adj", "hazard_ratio", "heuristic", 0.78), ("standard_error_gc", "standard_error_gc", "standard_error", "heuristic", 0.8),
+    ("-log10_p_value", "log10_p_value", "neg_log10_p_value", "alias", 0.95), ("ＣＨＲ", "chr", "chromosome", "alias", 0.95),
 ]
 #: Columns of a part's header, and how a part and a place pick a name.
 _WIDTH = 9
-_STEP = "(p_partkey * 7 + o * (5 + p_partkey % 11))"
+_STEP = "(p_partkey * 7 + (o % (5 + p_partkey % 5)) * (5 + p_partkey % 11))"
 _HEADERS = f"""spelled(i, raw, n, concept, method, confidence) AS (VALUES {", ".join(f"({i}, {_sql(a)}, {_sql(b)}, {_sql(c)}, {_sql(d)}, {e}::DOUBLE)" for i, (a, b, c, d, e) in enumerate(_SPELLED))}),
     mapped AS (SELECT p_partkey AS source_id, o AS ordinal, raw, n, concept, method, confidence FROM part, generate_series(0, {_WIDTH - 1}) g(o) JOIN spelled ON i = {_STEP} % {len(_SPELLED)})"""
 
 
 def _part_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header for each part, of names that its key picks."""
-    step = F.col("p_partkey") * 7 + F.col("o") * (5 + F.col("p_partkey") % 11)
+    step = F.col("p_partkey") * 7 + (F.col("o") % (5 + F.col("p_partkey") % 5)) * (5 + F.col("p_partkey") % 11)  # most headers have a name twice
     places = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(_WIDTH - 1))).alias("o"))
     return places.select(F.col("p_partkey").alias("source_id"), F.col("o").alias("ordinal"), nth(step, [r for r, *_ in _SPELLED], "string").alias("raw"))
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from statsift.functions.folding import fold
+
 # Markers that stand for a missing cell, when validating and when reading headers.
 MISSING_CELLS = ("", ".", "-", "na", "nan", "n/a", "#na", "null", "none", "nd", "<na>", "?")
 MISSING_IN_HEADERS = ("na", "nan", "n/a", "#na", ".", "-", "null", "none", "")
 # Fixed value: a plain number.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Fixed value: characters that fold to one underscore in a column name.
-FOLDED = r"""[\s\-\.:;,/\\|()\[\]{}'"`+*#@!?%^&=<>~$]+"""
+FOLDED = r"""[\s\x1c-\x1f\x{85}\x{1680}\x{2028}\x{2029}\-\.:;,/\\|()\[\]{}'"`+*#@!?%^&=<>~$]+"""
 WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
-_COMBINING = "[̀-ͯ]"
 
 
 def trimmed(value: Column) -> Column:
@@ -57,15 +58,10 @@ def is_data_row(cells: Column, least: float = 0.4) -> Column:
 def normalised_name(name: Column) -> Column:
     """A column name in its form for comparison.
 
-    Letters are lower-cased and lose the accents that Latin letters carry;
-    punctuation and white space fold to single underscores."""
-    plain = F.translate(
-        F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), "﻿", "")),
-        "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ",
-        "aaaaaaceeeeiiiinooooouuuuyy",
-    )
-    folded = F.regexp_replace(F.regexp_replace(plain, _COMBINING, ""), FOLDED, "_")
-    return F.regexp_replace(F.regexp_replace(folded, "_+", "_"), "^_|_$", "")
+    Compatibility forms, marks and case are folded as ``folding.fold`` says; punctuation and
+    white space fold to single underscores."""
+    plain = fold(F.regexp_replace(F.coalesce(name, F.lit("")), "\ufeff", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, FOLDED, "_"), "_+", "_"), "^_|_$", "")
 
 
 def parse_count(text: Column) -> Column:

@@ -6,11 +6,13 @@ number of rows whatever its size."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statsift.functions.cells import is_data_row, normalised_name, reads_as_number, trimmed
-from statsift.vocabulary import Vocabulary
+from statsift.vocabulary import STRIPPED_PREFIX, Vocabulary
 
 # Delimiters in order of preference, and the limits and weights of the score.
 DELIMITERS = ("\t", ",", ";", " ", "|")
@@ -23,11 +25,32 @@ HINTS = (
 )
 
 
-def explode_lines(texts: DataFrame, text: str = "text", most: int | None = None) -> DataFrame:
-    """Physical lines of decoded texts, the first ``most`` of each; the unfinished last line is not one of them unless it is all there is."""
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def physical_lines(text: Column, most: int | None = None) -> Column:
+    """The lines of a decoded text, the first ``most``; an unfinished last line is not one of them unless it is all there is."""
     pieces = F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n")
     whole = F.when(F.size(pieces) > 1, F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
-    return texts.select("source_id", F.posexplode(F.slice(whole, 1, most) if most else whole).alias("line_idx", "line"))
+    return F.slice(whole, 1, most) if most else whole
+
+
+def explode_lines(texts: DataFrame, text: str = "text", most: int | None = None) -> DataFrame:
+    """``source_id, line_idx, line`` of decoded texts."""
+    return texts.select("source_id", F.posexplode(physical_lines(F.col(text), most)).alias("line_idx", "line"))
+
+
+def numbered(lines: Column) -> Column:
+    """An array of lines as one of ``line_idx, line``."""
+    return F.transform(lines, lambda line, i: F.struct(i.alias("line_idx"), line.alias("line")))
+
+
+def gathered(lines: DataFrame, most: int = MAX_LINES + LOOK_AHEAD) -> DataFrame:
+    """``source_id, lines``: the lines below ``most`` of each source, in order, as one array."""
+    head = lines.filter(F.col("line_idx") < most)
+    return head.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "line"))).alias("lines"))  # no more than ``most``
 
 
 def is_comment(line: Column) -> Column:
@@ -60,73 +83,113 @@ def split_line(line: Column, delimiter: Column) -> Column:
     return out
 
 
-def with_delimiters(lines: DataFrame, column: str = "delimiter") -> DataFrame:
-    """Each line once for each of the five delimiters."""
-    delimiters = F.array(*(F.struct(F.lit(i).alias("delim_ord"), F.lit(d).alias(column)) for i, d in enumerate(DELIMITERS)))
-    return lines.select("*", F.inline(delimiters))
+def _delimiters() -> Column:
+    return F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)))
+
+
+def delimiter_of(lines: Column, sample: int = 20) -> Column:
+    """A struct (delimiter, fields, confidence) from an array of lines, by how many of the first usable ones agree on a field count; else NULL.
+
+    Of equally frequent counts the one seen first stands; of equal scores the preferred delimiter."""
+    usable = F.slice(F.filter(lines, lambda x: (trimmed(x) != "") & ~is_comment(x)), 1, sample)
+
+    def mode(sizes: Column) -> Column:
+        """The most frequent size: (how often, minus its first place, size)."""
+        counts = F.transform(F.array_distinct(sizes), lambda v: F.struct(F.size(F.filter(sizes, lambda s: s == v)).alias("n"), (-F.array_position(sizes, v)).alias("seen"), v.alias("fields")))
+        return F.array_max(counts)
+
+    def of(d: Column, usable: Column) -> Column:
+        def score(m: Column) -> Column:
+            agreement = m["n"] / F.size(usable)
+            total = 10 * agreement + 0.1 * F.least(m["fields"], F.lit(30)) + F.when(d["delimiter"] == "\t", 0.35).otherwise(0.0)
+            return F.when(m["fields"] > 1, F.struct(total.alias("score"), (-d["ord"]).alias("ord"), d["delimiter"].alias("delimiter"), m["fields"].alias("fields"), F.round(agreement, 4).alias("confidence")))
+
+        return held(held(F.transform(usable, lambda x: F.size(split_line(x, d["delimiter"]))), mode), score)
+
+    best = held(usable, lambda u: F.array_max(F.array_compact(F.transform(_delimiters(), lambda d: of(d, u)))))
+    return held(best, lambda b: F.when(b.isNotNull(), F.struct(b["delimiter"].alias("delimiter"), b["fields"].alias("fields"), b["confidence"].alias("confidence"))))
 
 
 def detect_delimiter(lines: DataFrame, sample: int = 20) -> DataFrame:
-    """``source_id, delimiter, confidence``: by how many of the first usable lines agree on a field count."""
+    """``source_id, delimiter, fields, confidence`` from exploded lines."""
     usable = lines.filter((trimmed(F.col("line")) != "") & ~is_comment(F.col("line")))
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy("line_idx"))
     first = usable.withColumn("nth", nth).filter(F.col("nth") <= sample)
-    sized = with_delimiters(first).withColumn("fields", F.size(split_line(F.col("line"), F.col("delimiter"))))
-    counts = sized.groupBy("source_id", "delim_ord", "delimiter", "fields").agg(F.count("*").alias("n"), F.min("line_idx").alias("seen"))
-    total = F.sum("n").over(Window.partitionBy("source_id", "delim_ord"))
-    mode = F.row_number().over(Window.partitionBy("source_id", "delim_ord").orderBy(F.desc("n"), "seen"))
-    modal = counts.withColumns({"total": total, "mode": mode}).filter("mode = 1 AND fields > 1")
-    agreement = F.col("n") / F.col("total")
-    score = 10 * agreement + 0.1 * F.least("fields", F.lit(30)) + F.when(F.col("delimiter") == "\t", 0.35).otherwise(0.0)
-    best = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "delim_ord"))
-    return modal.withColumn("score", score).withColumn("best", best).filter("best = 1").select("source_id", "delimiter", "fields", F.round(agreement, 4).alias("confidence"))
+    arrays = first.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line"))), lambda x: x["line"]).alias("lines"))
+    return arrays.select("source_id", delimiter_of(F.col("lines"), sample).alias("found")).filter("found IS NOT NULL").select("source_id", "found.*")
 
 
-def score_candidates(lines: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """Every candidate line with its score: ``source_id, delim_ord, delimiter, line_idx, cells, fields, score``."""
+def delimiters_of_texts(texts: DataFrame, text: str = "text", sample: int = 20) -> DataFrame:
+    """The same from decoded texts: a text stays in its row, so nothing is shuffled."""
+    found = texts.select("source_id", delimiter_of(physical_lines(F.col(text)), sample).alias("found"))
+    return found.filter("found IS NOT NULL").select("source_id", "found.*")
+
+
+def _sql_list(names: list[str]) -> str:
+    return ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
+
+
+def scored_lines(lines: Column, vocabulary: Vocabulary | None = None) -> Column:
+    """Every candidate of an array of ``line_idx, line`` with its score: an array of ``score, delim_ord, line_idx, delimiter, cells, fields, mapped_share``.
+
+    A line looks ahead at the ``LOOK_AHEAD`` lines behind it in the array, so nothing leaves its row."""
     vocabulary = vocabulary or Vocabulary()
-    known = [r[0] for r in vocabulary.rows()]
+    known = _sql_list([r[0] for r in vocabulary.rows()])
     suffixes = "|".join(r[0] for r in vocabulary.suffix_rules)
     parts = "|".join(r[0] for r in vocabulary.contains_rules)
+    # lists of names as SQL: an expression of hundreds of literals takes seconds to put together piece by piece
+    mapped = F.expr(f"x -> x <> '' AND (x IN ({known}) OR x RLIKE '({suffixes})$|{parts}' OR regexp_replace(x, '^{STRIPPED_PREFIX}', '') IN ({known}))")
+    hinted = F.expr(f"x -> x IN ({_sql_list(list(HINTS))})")
+
+    def score(r: Column, info: Column, i: Column, d: Column) -> Column:
+        following = F.filter(F.slice(info, i + 2, F.lit(LOOK_AHEAD)), lambda x: x["usable"])
+
+        def of_names(names: Column, following: Column) -> Column:
+            filled = F.filter(names, lambda n: n != "")
+            fields = F.greatest(r["fields"], F.lit(1))
+            share = F.size(F.call_function("filter", names, mapped)) / fields
+            numeric = F.size(F.filter(r["cells"], reads_as_number)) / fields
+            after = F.size(following)
+            same = F.size(F.filter(following, lambda x: x["fields"] == r["fields"]))
+            data = F.size(F.filter(following, lambda x: x["data_like"]))
+
+            def total(m: Column) -> Column:
+                sum_of = (
+                    m["share"] * 6
+                    + F.least(F.size(F.call_function("filter", names, hinted)), F.lit(8)) * 0.45
+                    + (1 - m["numeric"]) * 3
+                    - F.when(m["numeric"] > 0.5, 4.0).otherwise(0.0)
+                    + F.size(F.array_distinct(filled)) / F.greatest(F.size(filled), F.lit(1)) * 1.5
+                    + F.when(after > 0, same / F.greatest(after, F.lit(1)) * 3 + data / F.greatest(after, F.lit(1)) * 3).otherwise(-1.0)
+                    + F.when(r["fields"].between(3, 200), 1.0).when(r["fields"] == 2, -0.5).otherwise(-2.0)
+                    + F.when(r["comment"], F.when(m["share"] >= 0.5, -0.5).otherwise(-2.5)).otherwise(0.0)
+                    - F.when(is_key_value(r["line"]), 4.0).otherwise(0.0)
+                    - F.size(F.filter(r["cells"], lambda x: x == "")) * 0.5
+                    + F.greatest(F.lit(0.0), 1 - 0.02 * r["line_idx"])
+                    + F.when(d["delimiter"] == "\t", 0.3).otherwise(0.0)
+                )
+                return F.struct(sum_of.alias("score"), d["ord"].alias("delim_ord"), r["line_idx"].alias("line_idx"), d["delimiter"].alias("delimiter"), r["cells"].alias("cells"), r["fields"].alias("fields"), m["share"].alias("mapped_share"))
+
+            return held(F.struct(share.alias("share"), numeric.alias("numeric")), total)
+
+        return held(following, lambda f: held(F.transform(r["cells"], normalised_name), lambda n: of_names(n, f)))
+
+    def of_delimiter(d: Column) -> Column:
+        rows = F.transform(lines, lambda x: F.struct(x["line_idx"].alias("line_idx"), x["line"].alias("line"), split_line(x["line"], d["delimiter"]).alias("cells")))
+        info = F.transform(rows, lambda r: F.struct(
+            *(r[k].alias(k) for k in ("line_idx", "line", "cells")), F.size(r["cells"]).alias("fields"), is_comment(r["line"]).alias("comment"), (trimmed(r["line"]) == "").alias("blank"),
+            ((trimmed(r["line"]) != "") & ~is_comment(r["line"])).alias("usable"), is_data_row(r["cells"]).alias("data_like"),
+        ))
+        candidate = lambda r: (r["line_idx"] < MAX_LINES) & ~r["blank"] & (r["fields"] >= 2)
+        return held(info, lambda rows: F.array_compact(F.transform(rows, lambda r, i: F.when(candidate(r), score(r, rows, i, d)))))
+
+    return F.flatten(F.transform(_delimiters(), of_delimiter))
+
 
-    head = lines.filter(F.col("line_idx") < MAX_LINES + LOOK_AHEAD)
-    rows = with_delimiters(head).withColumn("cells", split_line(F.col("line"), F.col("delimiter")))
-    rows = rows.withColumns({"fields": F.size("cells"), "blank": trimmed(F.col("line")) == "", "comment": is_comment(F.col("line")), "data_like": is_data_row(F.col("cells"))})
-    usable = ~F.col("blank") & ~F.col("comment")
-    ahead = Window.partitionBy("source_id", "delim_ord").orderBy("line_idx").rowsBetween(1, LOOK_AHEAD)
-    following = F.filter(F.collect_list(F.struct(usable.alias("usable"), "fields", "data_like")).over(ahead), lambda r: r["usable"])
-    rows = rows.withColumn("following", following).filter((F.col("line_idx") < MAX_LINES) & ~F.col("blank") & (F.col("fields") >= 2))
-
-    names = F.transform("cells", normalised_name)
-    rows = rows.withColumn("names", names).withColumn("filled", F.filter("names", lambda n: n != ""))
-    mapped = lambda n: n.isin(*known) | n.rlike(f"({suffixes})$|{parts}") | F.regexp_replace(n, "^hm_", "").isin(*known)
-    n = F.greatest(F.size("filled"), F.lit(1))
-    share = lambda test: F.size(F.filter("names", lambda x: (x != "") & test(x))) / F.greatest(F.col("fields"), F.lit(1))
-    rows = rows.withColumns({
-        "mapped_share": share(mapped),
-        "hits": F.size(F.filter("names", lambda x: x.isin(*HINTS))),
-        "numeric": F.size(F.filter("cells", reads_as_number)) / F.greatest(F.col("fields"), F.lit(1)),
-        "unique": F.size(F.array_distinct("filled")) / n,
-        "empty": F.size(F.filter("cells", lambda x: x == "")),
-    })
-    same = F.size(F.filter("following", lambda r: r["fields"] == F.col("fields")))
-    data = F.size(F.filter("following", lambda r: r["data_like"]))
-    after = F.size("following")
-    score = (
-        F.col("mapped_share") * 6
-        + F.least("hits", F.lit(8)) * 0.45
-        + (1 - F.col("numeric")) * 3
-        - F.when(F.col("numeric") > 0.5, 4.0).otherwise(0.0)
-        + F.col("unique") * 1.5
-        + F.when(after > 0, same / F.greatest(after, F.lit(1)) * 3 + data / F.greatest(after, F.lit(1)) * 3).otherwise(-1.0)
-        + F.when(F.col("fields").between(3, 200), 1.0).when(F.col("fields") == 2, -0.5).otherwise(-2.0)
-        + F.when(F.col("comment"), F.when(F.col("mapped_share") >= 0.5, -0.5).otherwise(-2.5)).otherwise(0.0)
-        - F.when(is_key_value(F.col("line")), 4.0).otherwise(0.0)
-        - F.col("empty") * 0.5
-        + F.greatest(F.lit(0.0), 1 - 0.02 * F.col("line_idx"))
-        + F.when(F.col("delimiter") == "\t", 0.3).otherwise(0.0)
-    )
-    return rows.select("source_id", "delim_ord", "delimiter", "line_idx", "cells", "fields", "mapped_share", score.alias("score"))
+def score_candidates(lines: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Every candidate line with its score: ``source_id, delim_ord, delimiter, line_idx, cells, fields, mapped_share, score``."""
+    scored = gathered(lines).select("source_id", F.inline(scored_lines(F.col("lines"), vocabulary)))
+    return scored.select("source_id", "delim_ord", "delimiter", "line_idx", "cells", "fields", "mapped_share", "score")
 
 
 def confidence(best: Column, runner_up: Column) -> Column:
@@ -135,15 +198,38 @@ def confidence(best: Column, runner_up: Column) -> Column:
     return F.round(0.7 * clip(best / 14) + 0.3 * F.coalesce(clip((best - runner_up) / 4), F.lit(1.0)), 4)
 
 
+def _winners(arrays: DataFrame, vocabulary: Vocabulary | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The winner of each row ``source_id, lines``: highest score, then the preferred delimiter, then the earliest line."""
+
+    def best(all_of: Column) -> Column:
+        first = F.array_max(F.transform(all_of, lambda x: F.struct(x["score"].alias("score"), (-x["delim_ord"]).alias("d"), (-x["line_idx"]).alias("l"), x.alias("row"))))["row"]
+        return F.struct(first.alias("best"), F.try_element_at(F.sort_array(F.transform(all_of, lambda x: x["score"]), asc=False), F.lit(2)).alias("runner_up"))
+
+    found = arrays.select("source_id", *keep, F.inline(F.array(held(scored_lines(F.col("lines"), vocabulary), best)))).filter("best.score > 0")
+    header = F.transform("best.cells", lambda x: F.regexp_replace(x, "^\ufeff|^#+\\s*", ""))
+    return found.select("source_id", F.col("best.line_idx").alias("header_row"), "best.delimiter", header.alias("header"), F.round("best.score", 6).alias("score"), confidence(F.col("best.score"), F.col("runner_up")).alias("confidence"), *keep)
+
+
 def detect_headers(lines: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """The winner of each source: ``source_id, header_row, delimiter, header, score, confidence``.
 
     Sources without a candidate above 0 give no row; see ``header_failures``."""
-    order = Window.partitionBy("source_id").orderBy(F.desc("score"), "delim_ord", "line_idx")
-    ranked = score_candidates(lines, vocabulary).withColumns({"rank": F.row_number().over(order), "runner_up": F.lead("score").over(order)})
-    best = ranked.filter("rank = 1 AND score > 0")
-    header = F.transform("cells", lambda x: F.regexp_replace(x, "^﻿|^#+\\s*", ""))
-    return best.select("source_id", F.col("line_idx").alias("header_row"), "delimiter", header.alias("header"), F.round("score", 6).alias("score"), confidence(F.col("score"), F.col("runner_up")).alias("confidence"))
+    return _winners(gathered(lines), vocabulary)
+
+
+def headers_of_texts(texts: DataFrame, vocabulary: Vocabulary | None = None, text: str = "text") -> DataFrame:
+    """The same from decoded texts: a text stays in its row, so nothing is exploded or shuffled."""
+    return _winners(texts.select("source_id", numbered(physical_lines(F.col(text), MAX_LINES + LOOK_AHEAD)).alias("lines")), vocabulary)
+
+
+def tables_of_texts(texts: DataFrame, vocabulary: Vocabulary | None = None, most: int = SAMPLE_ROWS, text: str = "text") -> DataFrame:
+    """The winners of ``headers_of_texts`` with the first rows below each header: ``rows``, an array of arrays of cells.
+
+    Each text is gone through once and stays in its row."""
+    lined = texts.select("source_id", physical_lines(F.col(text)).alias("every"))
+    found = _winners(lined.select("source_id", numbered(F.slice("every", 1, MAX_LINES + LOOK_AHEAD)).alias("lines"), "every"), vocabulary, ("every",))
+    usable = F.filter(F.slice("every", F.col("header_row") + 2, F.size("every")), lambda x: (trimmed(x) != "") & ~is_comment(x))
+    return found.withColumn("rows", F.transform(F.slice(usable, 1, most), lambda x: split_line(x, F.col("delimiter")))).drop("every")
 
 
 def header_failures(lines: DataFrame, found: DataFrame) -> DataFrame:

@@ -72,8 +72,8 @@ _NORMAL = f"regexp_replace(regexp_replace(regexp_replace(lower(x), '{_FOLD}', '_
 
 @query(
     f"""WITH t AS (SELECT 'd' || doc_id AS id, string_split(text, chr(10))[1] AS x FROM documents UNION ALL SELECT 'p' || p_partkey, p_name FROM part)
-    , u AS (SELECT id, regexp_replace(translate(lower(replace(coalesce(x, ''), chr(65279), '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\x{{0300}}-\\x{{036f}}]', '', 'g') AS x FROM t)
-    SELECT id, {_NORMAL} AS name FROM u"""
+    , u AS (SELECT id, regexp_replace(translate(lower(replace(coalesce(x, ''), chr(65279), '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\x{{0300}}-\\x{{036f}}]', '', 'g') AS x FROM t), v AS (SELECT id, replace(x, 'ß', 'ss') AS x FROM u)
+    SELECT id, {_NORMAL} AS name FROM v"""
 )
 def q03_normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: names in their form for comparison, of all first lines and part names."""
@@ -147,7 +147,11 @@ _LINES = """raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM doc
 
 
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return header.explode_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+    return header.explode_lines(_document_texts(spark, sf_dir))
+
+
+def _document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
 
 
 @query(
@@ -162,13 +166,13 @@ def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q05_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delimiter on which the first lines agree."""
-    return header.detect_delimiter(_document_lines(spark, sf_dir)).withColumnRenamed("source_id", "doc_id")
+    return header.delimiters_of_texts(_document_texts(spark, sf_dir)).withColumnRenamed("source_id", "doc_id")
 
 
 @query()
 def q05_every_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of all documents, quoted cells included."""
-    return header.detect_delimiter(_document_lines(spark, sf_dir)).withColumnRenamed("source_id", "doc_id")
+    return header.delimiters_of_texts(_document_texts(spark, sf_dir)).withColumnRenamed("source_id", "doc_id")
 
 
 @query(
