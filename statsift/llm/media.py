@@ -19,7 +19,7 @@ import hashlib
 import struct
 import tarfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,7 @@ HEADER = 33  # signature and header chunk
 #: Stored bytes that a task reads back, about; neighbours in a shard go together.
 READ_BYTES, MOST_TASKS = 8 << 20, 20_000
 READ_BACK = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bit_depth int, media_path string, media_offset long"
+METADATA = "digest string, media_path string, media_offset long, media_bytes long, width int, height int, bit_depth int"
 
 
 def padded(data: bytes) -> bytes:
@@ -123,8 +124,16 @@ def write_shards(docs: DataFrame, folder: str, text_col: str = "text") -> DataFr
     return c.cut(rows.mapInArrow(write, "digest string, path string, offset long, length long"), "media-index")
 
 
-def read_back(index: DataFrame) -> DataFrame:
-    """Metadata and features of each distinct payload, read from the tar files."""
+def _by_place(index: DataFrame, read_bytes: int) -> DataFrame:
+    """One place of each payload, neighbours in a shard together: a task a stretch of about ``READ_BYTES`` that are read."""
+    one = index.groupBy("digest").agg(F.min(F.struct("path", "offset", "length")).alias("at")).select("digest", "at.*")
+    tasks = min(1 + read_bytes // READ_BYTES, MOST_TASKS)  # a stated number is not coalesced by the index's own few bytes
+    stretch = F.floor(F.col("offset") / F.lit(READ_BYTES))
+    return one.repartition(tasks, "path", stretch).sortWithinPartitions("path", "offset")
+
+
+def _read(index: DataFrame, row: Callable, schema: str, read_bytes: int) -> DataFrame:
+    """``row(file, digest, path, offset, length)`` of each distinct payload; a shard is opened once a batch."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -132,28 +141,46 @@ def read_back(index: DataFrame) -> DataFrame:
             for path, entries in frame.groupby("path", sort=False):
                 with for_reading(path) as file:
                     for digest, offset, length in sorted(zip(entries["digest"], entries["offset"], entries["length"]), key=lambda x: x[1]):
-                        width, height, depth = read_header(file.read_at(HEADER, offset))
-                        media = file.read_at(length, offset)
-                        payload = from_png(media)
-                        rows.append((
-                            digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), length,
-                            hashlib.sha256(media).hexdigest(), features(payload), width, height, depth, path, offset,
-                        ))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ_BACK.split(", ")])
+                        rows.append(row(file, digest, path, offset, length))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    one = index.groupBy("digest").agg(F.min(F.struct("path", "offset", "length")).alias("at")).select("digest", "at.*")
-    held = index.agg(F.sum("length")).first()[0] or 0
-    tasks = min(1 + held // READ_BYTES, MOST_TASKS)  # a stated number is not coalesced by the index's own few bytes
-    stretch = F.floor(F.col("offset") / F.lit(READ_BYTES))
-    return one.repartition(tasks, "path", stretch).sortWithinPartitions("path", "offset").mapInPandas(read, READ_BACK)
+    return _by_place(index, read_bytes).mapInPandas(read, schema)
+
+
+def metadata(index: DataFrame) -> DataFrame:
+    """``digest, media_path, media_offset, media_bytes, width, height, bit_depth`` of each distinct payload.
+
+    No more than ``HEADER`` bytes of an entry are read."""
+
+    def row(file, digest: str, path: str, offset: int, length: int) -> tuple:
+        return (digest, path, offset, length, *read_header(file.read_at(min(HEADER, length), offset)))
+
+    return _read(index, row, METADATA, HEADER * (index.agg(F.count("*")).first()[0]))
+
+
+def read_back(index: DataFrame) -> DataFrame:
+    """Metadata and features of each distinct payload, read from the tar files."""
+
+    def row(file, digest: str, path: str, offset: int, length: int) -> tuple:
+        width, height, depth = read_header(file.read_at(HEADER, offset))
+        media = file.read_at(length, offset)
+        payload = from_png(media)
+        return (
+            digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), length,
+            hashlib.sha256(media).hexdigest(), features(payload), width, height, depth, path, offset,
+        )
+
+    return _read(index, row, READ_BACK, index.agg(F.sum("length")).first()[0] or 0)
 
 
-def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", payloads: bool = True) -> DataFrame:
     """Every row with its payload's place, metadata and features.
 
-    The shards are written when this is called."""
+    The shards are written when this is called.  Without ``payloads`` only headers are read, and the
+    columns are those of ``metadata``."""
     folder = folder or c.new_path(docs.sparkSession, "media")
-    media = read_back(write_shards(docs, folder, text_col))
+    index = write_shards(docs, folder, text_col)
+    media = read_back(index) if payloads else metadata(index)
     data = c.utf8("text")
     rows = c.pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("digest"))
     return rows.join(media, "digest")

@@ -7,8 +7,9 @@ it never hashes a record anew, and moves only the slots that the edit names.
 
 Law ``bytes``: the shards' sizes are near equal.  The first version of a map deals
 slots round; each call loads the last version, moves slots off the shards above the
-mean until the sizes are as near as whole slots allow, and appends what it made as
-the next version.  What it places is what it reads back from there.
+mean until the sizes are as near as whole slots allow, and stores what it made as
+the next version.  A version is a folder that appears whole, once: of two writers the
+later one edits what the earlier one stored.
 
 Defined cases: a null text has no bytes and the size of an empty one; a null or
 repeated id goes where its hash says, so all rows of an id are in one shard, and the
@@ -19,7 +20,9 @@ texts are measured only, however long; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +33,9 @@ SLOTS = 8192
 OVERHEAD = 16
 #: The rows of a slot are ranked in so many parts.
 PARTS = 64
-MAP = "version int, virtual_slot int, shard int"
+MAP = "virtual_slot int, shard int, slots int, version int"
+#: Times that a writer starts anew from the version that another writer stored meanwhile.
+ATTEMPTS = 8
 #: Last moves a shard at most, when a map is evened out.
 POLISH = 4
 
@@ -93,7 +98,10 @@ def rebalance(mapping: list[int], sizes: list[int], shards: int) -> list[int]:
 
 
 def last_version(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
-    """The last version of the map in ``path``, if there is one: a row a slot."""
+    """The last version of the map in ``path``, if there is one.
+
+    A version that does not hold each of its slots once is an error: hashing by a wrong number
+    of slots would move every record."""
     try:
         stored = spark.read.schema(MAP).parquet(path)
     except AnalysisException as e:
@@ -103,12 +111,31 @@ def last_version(spark: SparkSession, path: str) -> tuple[int, list[int]] | None
     version = stored.agg(F.max("version")).first()[0]
     if version is None:
         return None
-    return version, [r["shard"] for r in stored.filter(F.col("version") == version).orderBy("virtual_slot").collect()]
-
-
-def append_version(spark: SparkSession, path: str, version: int, mapping: list[int]) -> None:
-    rows = [(version, slot, shard) for slot, shard in enumerate(mapping)]
-    spark.createDataFrame(rows, MAP).coalesce(1).write.mode("append").parquet(path)
+    rows = stored.filter(F.col("version") == version).orderBy("virtual_slot").collect()  # a row a slot
+    if [r["virtual_slot"] for r in rows] != list(range(rows[0]["slots"])):
+        raise ValueError(f"version {version} of the map in {path} does not hold each of its {rows[0]['slots']} slots once")
+    return version, [r["shard"] for r in rows]
+
+
+def store_version(spark: SparkSession, path: str, version: int, mapping: list[int]) -> bool:
+    """Store a version whole, under a name of its own; False if another writer has stored it already.
+
+    It is written beside the others and then renamed, which fails where the name is taken."""
+    jvm = spark.sparkContext._jvm
+    early = f"{path}/_{uuid.uuid4().hex}"
+    rows = [(slot, shard, len(mapping)) for slot, shard in enumerate(mapping)]
+    spark.createDataFrame(rows, "virtual_slot int, shard int, slots int").coalesce(1).write.parquet(early)
+    place = jvm.org.apache.hadoop.fs.Path
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    plainly = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)  # never over what is there
+    try:
+        files.rename(place(early), place(f"{path}/version={version}"), plainly)
+    except Py4JJavaError as e:
+        files.delete(place(early), True)
+        if e.java_exception.getClass().getName() == "org.apache.hadoop.fs.FileAlreadyExistsException":
+            return False
+        raise
+    return True
 
 
 def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,11 +147,9 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str |
     appended when this is called.  Without it a new map begins."""
     spark = docs.sparkSession
     map_path = map_path or c.new_path(spark, "slot-map")
-    found = last_version(spark, map_path)
-    if found is None:
-        found = 1, first_map(shards, slots)
-        append_version(spark, map_path, *found)
-    version, mapping = found
+    if last_version(spark, map_path) is None:
+        store_version(spark, map_path, 1, first_map(shards, slots))
+    version, mapping = last_version(spark, map_path)
     slots = len(mapping)
     data = c.utf8("text")
     rows = c.pick(docs, doc_id=id_col, text=text_col).select(
@@ -141,8 +166,14 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str |
     sizes, rows_of = [0] * slots, [0] * slots
     for r in held:
         sizes[r["virtual_slot"]], rows_of[r["virtual_slot"]] = r["bytes"], r["n"]
-    append_version(spark, map_path, version + 1, rebalance(mapping, sizes, shards))
-    _, mapping = last_version(spark, map_path)
+    for _ in range(ATTEMPTS):
+        edited = rebalance(mapping, sizes, shards)
+        if store_version(spark, map_path, version + 1, edited):
+            mapping = edited
+            break
+        version, mapping = last_version(spark, map_path)
+    else:
+        raise RuntimeError(f"other writers stored {ATTEMPTS} versions of the map in {map_path} meanwhile")
 
     base, placed = [0] * shards, []
     for slot, home in enumerate(mapping):

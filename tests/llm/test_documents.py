@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from statsift.llm import licenses, media, quality, sharding
@@ -154,3 +155,63 @@ def test_media(spark, odd, odd_rows, empty, tmp_path):
             for entry in tar:
                 assert media.from_png(tar.extractfile(entry).read()) == media.padded(by_digest[entry.name.removesuffix(".png")])
     assert media.media_columns(empty, f"{folder}-none").count() == 0
+
+
+def test_versions_are_stored_once_and_whole(spark, odd, tmp_path):
+    path = f"file://{tmp_path}/map"
+    assert sharding.last_version(spark, path) is None
+    assert sharding.store_version(spark, path, 1, sharding.first_map(3, 64))
+    assert not sharding.store_version(spark, path, 1, sharding.first_map(5, 64))  # another writer's version stays
+    assert sharding.last_version(spark, path) == (1, sharding.first_map(3, 64))
+    assert sorted(p.name for p in (tmp_path / "map").iterdir() if not p.name.startswith(".")) == ["version=1"]
+    rows = sharding.shard(odd, shards=3, map_path=path).collect()
+    assert max(r["virtual_slot"] for r in rows) < 64 and sharding.last_version(spark, path)[0] == 2
+    # a writer that comes late edits what is there by then
+    real, taken = sharding.store_version, []
+
+    def late(spark, path, version, mapping):
+        if not taken:
+            taken.append(real(spark, path, version, [2 - s % 3 for s in range(64)]))
+        return real(spark, path, version, mapping)
+
+    sharding.store_version = late
+    try:
+        again = sharding.shard(odd, shards=3, map_path=path)
+    finally:
+        sharding.store_version = real
+    assert taken == [True] and sharding.last_version(spark, path)[0] == 4
+    assert again.count() == odd.count()
+    spark.createDataFrame([(0, 1, 64), (0, 2, 64)], "virtual_slot int, shard int, slots int").write.parquet(f"{path}/version=9")
+    with pytest.raises(ValueError, match="each of its 64 slots once"):
+        sharding.last_version(spark, path)
+
+
+def test_sizes_that_are_all_equal(spark):
+    rows = [(i, "same") for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), shards=10, slots=512).groupBy("shard").count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) - min(r["count"] for r in got) <= 16
+
+
+def test_metadata_by_headers_alone(spark, odd, tmp_path):
+    folder = f"file://{tmp_path}/media"
+    index = media.write_shards(odd, folder)
+    whole = {r["digest"]: (r["media_offset"], r["media_bytes"], r["width"], r["height"], r["bit_depth"]) for r in media.read_back(index).collect()}
+    # what is behind the headers may be anything: it is not read
+    for shard in (tmp_path / "media").glob("*.tar"):
+        data = bytearray(shard.read_bytes())
+        for r in index.filter(index.path.endswith(shard.name)).collect():
+            data[r["offset"] + media.HEADER : r["offset"] + r["length"]] = bytes(r["length"] - media.HEADER)
+        shard.write_bytes(data)
+    got = media.metadata(index).collect()
+    assert {r["digest"]: (r["media_offset"], r["media_bytes"], r["width"], r["height"], r["bit_depth"]) for r in got} == whole and len(got) == len(whole)
+    with pytest.raises(Exception, match="damaged PNG"):
+        media.read_back(index).collect()
+
+
+def test_columns_without_payloads_of_a_very_long_text(spark):
+    rows = [(1, "x" * 3_000_000), (2, None), (3, "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in media.media_columns(df, payloads=False).collect()}
+    assert (got[1]["width"], got[1]["height"], got[2]["height"]) == (64, 3_000_000 // 64, 1) and got[1]["digest"] == got[3]["digest"]
+    full = {r["doc_id"]: r["payload_bytes"] for r in media.media_columns(df).collect()}
+    assert full == {1: 3_000_000, 2: 64, 3: 3_000_000}
