@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statsift.functions.names import DATA_SUFFIXES
+from statsift.operators.charsets import guess
 
 # What opens a page of markup, and content types that are no data.
 OPENERS = ("<!doctype html", "<html", "<head", "<body", "<meta", "<?xml", "<!--", "<script", "<title", "<div", "<span", "<svg")
@@ -275,6 +276,9 @@ def decode_one(data: bytes) -> dict:
             return {"text": data[: len(data) - cut].decode("utf-8"), "encoding": "utf-8", "confidence": 0.9}
         except UnicodeDecodeError:
             continue
+    if found := guess(data):
+        text = codecs.getincrementaldecoder(found[0])("strict").decode(data)  # a character that is cut off goes
+        return {"text": text, "encoding": found[0], "confidence": found[1]}
     try:
         return {"text": data.decode("cp1252"), "encoding": "cp1252", "confidence": 0.6}
     except UnicodeDecodeError:
