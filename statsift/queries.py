@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statsift.functions import cells, names
-from statsift.operators import ancestry, catalog, discovery, evaluate, extract, header, mapping, payload, readiness, resolver, samples, validation
+from statsift.operators import ancestry, archives, catalog, discovery, evaluate, extract, header, mapping, payload, readiness, resolver, samples, validation
 from statsift.plans import triage
 from statsift.vocabulary import CONTAINS_RULES, SUFFIX_RULES, Vocabulary
 
@@ -566,3 +566,55 @@ def q33_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = _tables_as_files(spark, sf_dir).select("source_id", F.lit("x.tsv.gz").alias("name"), packed("text").alias("content"), F.lit(None).cast("string").alias("content_type"), F.lit(0).cast("long").alias("size"))
     return triage.decode_prefixes(files).select("source_id", "kind", "compression", "encoding", F.length("text").alias("chars"))
+
+
+@query(
+    """SELECT doc_id, CAST(4 AS BIGINT) AS members, 'results/data-' || doc_id || '.tsv' AS member, sha256(coalesce(text, '')) AS sha256, CAST(NULL AS VARCHAR) AS category FROM documents"""
+)
+def q34_zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a member of a zip file, found by the central directory and read from its own range."""
+    import io
+    import zipfile
+
+    @F.pandas_udf("binary")
+    def packed(key: pd.Series, text: pd.Series) -> pd.Series:
+        def one(k: int, t: str) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("README.md", "about")
+                z.writestr(zipfile.ZipInfo("notes.pdf"), "x" * 2000)
+                z.writestr(f"results/data-{k}.tsv", t)
+                z.writestr("z.out", "later")
+            return out.getvalue()
+
+        return pd.Series([one(k, t) for k, t in zip(key, text)])
+
+    docs = table(spark, sf_dir, "documents")
+    zips = docs.select(F.col("doc_id").cast("string").alias("source_id"), packed("doc_id", F.coalesce("text", F.lit(""))).alias("zip"))
+    size = F.octet_length("zip").cast("long")
+    tails = zips.select("source_id", F.substring("zip", -archives.TAIL_BYTES, archives.TAIL_BYTES).alias("tail"), size.alias("size"))
+    members = archives.members(tails)
+    chosen = archives.pick(members).join(members.groupBy("source_id").agg(F.count("member").alias("members")), "source_id")
+    chunks = chosen.join(zips, "source_id").withColumn("content", F.substring("zip", F.col("offset").cast("int") + 1, (F.col("packed") + archives.LOCAL_SIZE + 1024).cast("int")))
+    read = archives.member_prefixes(chunks, 64 << 20)
+    out = read.join(chosen.select("source_id", "members"), "source_id")
+    return out.select(F.col("source_id").cast("long").alias("doc_id"), "members", "member", F.sha2("data", 256).alias("sha256"), "category")
+
+
+_WRITTEN = "\\x00-\\x7f\\xa0-\\xff"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN regexp_full_match(text, '[\\x00-\\x7f]*') THEN 'ascii' ELSE 'cp1252' END AS encoding, sha256(text || chr(10) || 'the end' || chr(10)) AS sha256
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE regexp_full_match(text, '[{_WRITTEN}]*')"""
+)
+def q35_character_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that Latin letters alone can write, as bytes of an older character set and back."""
+
+    @F.pandas_udf("binary")
+    def encoded(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: t.encode("cp1252", "replace"))
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~F.col("text").rlike(f"[^{_WRITTEN}]"))
+    read = docs.select("doc_id", payload.decode_text(encoded(F.concat("text", F.lit("\nthe end\n")))).alias("d"))
+    return read.select("doc_id", F.col("d.encoding").alias("encoding"), F.sha2(F.col("d.text").cast("binary"), 256).alias("sha256"))

@@ -14,7 +14,7 @@ def plan(df) -> str:
 
 
 #: Queries that need Python for bytes; all others stay in the JVM.
-PYTHON = {"q33_compressed", "c_sidecars"}
+PYTHON = {"q33_compressed", "q34_zip_members", "q35_character_sets", "c_sidecars"}
 
 
 #: The routes' queries are cut into written tables, so their plans show the last step alone.
