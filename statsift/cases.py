@@ -269,8 +269,8 @@ def c_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", validation.is_valid(nth(k, [c for c, _, _ in _DOMAINS], "string"), nth(k, [x for _, x, _ in _DOMAINS], "string")).alias("valid"))
 
 
-def _allele_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders' lines as tables with alleles and counts: mapped columns, and tall cells."""
+def _allele_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders' lines as tables with alleles and counts: mapped columns, and their rows."""
     concepts = ["effect_allele", "other_allele", "cases", "controls", "sample_size", "p_value", "chromosome"]
     k = F.col("l_linenumber")
     rows = table(spark, sf_dir, "lineitem").select(
@@ -278,16 +278,20 @@ def _allele_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         F.array(F.lit("A"), F.when(k % 3 == 0, "a").otherwise("G"), F.col("l_quantity").cast("string"), F.lit("10"), F.when(k % 2 == 0, F.col("l_quantity") + 10).otherwise(F.col("l_quantity") + 30).cast("string"),
                 F.when(k == 1, "0").otherwise(F.col("l_discount").cast("string")), F.when(F.col("l_orderkey") % 200 < 100, "1:55").when(k == 1, "NA").otherwise("7")).alias("cells"),
     )
-    cells_ = rows.select("source_id", "row_idx", F.posexplode("cells").alias("ordinal", "cell"))
     mapped = rows.select("source_id").distinct().select("source_id", F.posexplode(F.array(*map(F.lit, concepts))).alias("ordinal", "concept")).withColumn("raw", F.col("concept"))
-    return mapped, cells_
+    return mapped, rows
 
 
 @query("""SELECT l_orderkey % 200 AS source_id, count(*) AS allele_rows, CAST(count_if(l_linenumber % 3 = 0) AS BIGINT) AS equal_alleles, count(*) AS count_rows,
     CAST(count_if(l_linenumber % 2 <> 0 AND 20 / (l_quantity + 30) > 0.01) AS BIGINT) AS counts_off FROM lineitem GROUP BY 1""")
 def c_cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal alleles, and cases and controls that do not add up."""
-    return validation.cross_checks(*_allele_cells(spark, sf_dir))
+    return validation.cross_checks(*_allele_rows(spark, sf_dir))
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped, rows = _allele_rows(spark, sf_dir)
+    return validation.validate(mapped, rows.select("source_id", "row_idx", F.posexplode("cells").alias("ordinal", "cell")))
 
 
 _VALIDATED = """WITH v AS (SELECT l_orderkey % 200 AS source_id, count(*) AS n, count_if(l_linenumber = 1) AS ones, count_if(l_linenumber = 1 OR l_discount = 0) AS zeros FROM lineitem GROUP BY 1),
@@ -299,14 +303,14 @@ _VALIDATED = """WITH v AS (SELECT l_orderkey % 200 AS source_id, count(*) AS n,
 @query(_VALIDATED + " SELECT source_id, concept, CAST(tested AS BIGINT) AS tested, CAST(valid AS BIGINT) AS valid, CAST(missing AS BIGINT) AS missing, status, suggested_concept FROM s")
 def c_validated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, statuses, underflow, and what a column may be instead."""
-    out = validation.validate(*_allele_cells(spark, sf_dir)).filter("concept IN ('p_value', 'chromosome')")
+    out = _validated(spark, sf_dir).filter("concept IN ('p_value', 'chromosome')")
     return out.select("source_id", "concept", "tested", "valid", "missing", "status", "suggested_concept")
 
 
 @query(_VALIDATED + """ SELECT source_id, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' WHEN bool_or(status = 'PASS') THEN 'PASS' ELSE 'NOT_TESTED' END AS status FROM s GROUP BY source_id""")
 def c_overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst tested status of each source."""
-    return validation.overall_status(validation.validate(*_allele_cells(spark, sf_dir)).filter("concept IN ('p_value', 'chromosome')"))
+    return validation.overall_status(_validated(spark, sf_dir).filter("concept IN ('p_value', 'chromosome')"))
 
 
 # --- mapping and readiness --------------------------------------------------
