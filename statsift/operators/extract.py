@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from typing import IO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from statsift.operators.payload import is_unsafe_member, pick_member
@@ -32,6 +32,8 @@ def can_read(path: str, compression: str) -> bool:
 
 #: What is unpacked is read and written so many bytes at a time.
 PIECE = 1 << 20
+#: Lines of one record at most.
+MOST_LINES = 100_000
 
 
 def _stream(stack: contextlib.ExitStack, path: str, compression: str) -> tuple[str, IO[bytes]]:
@@ -90,10 +92,66 @@ def unpack(packed: DataFrame, folder: str) -> DataFrame:
     return packed.select("source_id", "compression").mapInPandas(run, "source_id string, path string, category string")
 
 
+def whole_records(lines: DataFrame, delimiter: str) -> DataFrame:
+    """``block, at, value`` lines as ``block, at, value`` records: a quoted cell may hold line breaks, also across splits.
+
+    A line is a function of whether it begins within quotes: it keeps that, turns it round, or settles it. These
+    functions are composed along each split, and from split to split over one row a split; so lines are put
+    together only where a record is longer than a line.  A quote counts at a cell's start alone.  A quote that
+    is not closed within ``MOST_LINES`` lines is a ValueError."""
+    d = "\\Q" + delimiter + "\\E"
+    cell = rf'(?:[ ]*"(?:[^"]++|"")*+"(?:(?!{d})[^"])*+|(?!{d})[^"](?:(?!{d}).)*+|){d}'
+    opens = rf'(?s)^(?:{cell})*+[ ]*"(?:[^"]++|"")*+$'
+    closes = rf'(?s)^(?:[^"]++|"")*+"(?!")(?:(?!{d}).)*+(?:{d}(.*))?$'
+    value = F.col("value")
+    from_outside = F.coalesce(value.rlike(opens), F.lit(False))
+    from_inside = F.when(value.rlike(closes), F.regexp_extract("value", closes, 1).rlike(opens)).otherwise(True)
+    marked = lines.withColumns({"outside": from_outside, "inside": from_inside})
+    if marked.filter("outside").isEmpty():
+        return lines
+
+    def composed(rows: DataFrame, window: WindowSpec) -> DataFrame:
+        """``settled`` (what is known whatever came before, else NULL) and ``turns`` since then, each up to the row's end."""
+        so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        turns = F.sum(F.when(F.col("outside") & ~F.col("inside"), 1).otherwise(0)).over(so_far)
+        rows = rows.withColumns({"_turns": turns, "_settles": F.col("outside") == F.col("inside")})
+        known = F.last(F.when(F.col("_settles"), F.struct("outside", "_turns")), ignorenulls=True).over(so_far)
+        return rows.withColumn("_known", known).withColumns({"settled": F.col("_known.outside"), "turns": F.col("_turns") - F.coalesce("_known._turns", F.lit(0))}).drop("_turns", "_settles", "_known")
+
+    def after(start: Column) -> Column:
+        """Whether a row ends within quotes, by whether the first one began so."""
+        return (F.coalesce("settled", start).cast("int") + F.col("turns")) % 2 == 1
+
+    along = Window.partitionBy("block").orderBy("at")
+    here = composed(marked, along)
+    ends = here.groupBy("block").agg(F.max_by(F.struct("settled", "turns"), "at").alias("end"))
+    ends = ends.select("block", after_of(F.col("end"), False).alias("outside"), after_of(F.col("end"), True).alias("inside"))  # one row a split
+    order = Window.orderBy("block")
+    begins = composed(ends, order).select("block", F.lag(after(F.lit(False)), 1, False).over(order).alias("begins"))
+    states = here.join(F.broadcast(begins), "block")
+    before = F.coalesce(F.lag(after(F.col("begins"))).over(along), F.col("begins"))
+    numbered = states.withColumn("starts", (~before).cast("int")).withColumn("record", F.sum("starts").over(along))
+    last = numbered.groupBy("block").agg(F.max("record").alias("records"))
+    home = last.select("block", F.last(F.when(F.col("records") > 0, F.struct("block", "records")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("home"))
+    keyed = numbered.join(F.broadcast(home), "block")
+    own = F.col("record") > 0
+    keyed = keyed.select(F.when(own, F.col("block")).otherwise(F.col("home.block")).alias("kb"), F.when(own, F.col("record")).otherwise(F.col("home.records")).alias("kr"), "block", "at", "value")
+    if not keyed.groupBy("kb", "kr").count().filter(F.col("count") > MOST_LINES).isEmpty():
+        raise ValueError("unclosed_quote")
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))  # a record's lines, at most ``MOST_LINES``
+    joined = keyed.groupBy("kb", "kr").agg(parts.alias("parts"))
+    return joined.select(F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["at"].alias("at"), F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"))
+
+
+def after_of(end: Column, start: bool) -> Column:
+    """Whether a split ends within quotes, if it begins so or not."""
+    return (F.coalesce(end["settled"], F.lit(start)).cast("int") + end["turns"]) % 2 == 1
+
+
 def read_table(spark: SparkSession, path: str, delimiter: str, header_row: int, header: list[str], encoding: str = "UTF-8", comment: str | None = None) -> DataFrame:
     """A delimited file whose layout is known: every column a string, names kept as they are.
 
-    Runs of spaces are one delimiter.  ``header_row`` physical lines and the header
+    A quoted cell may hold line breaks (``whole_records``).  Runs of spaces are one delimiter.  ``header_row`` physical lines and the header
     go by their position, so that the file can be read in splits; what stands below stays, whatever it says."""
 
     @F.pandas_udf("string")
@@ -105,6 +163,8 @@ def read_table(spark: SparkSession, path: str, delimiter: str, header_row: int,
     above = lines.select("block", "at").orderBy("block", "at").limit(header_row + 1).collect()  # ids ascend within a block
     if above:
         lines = lines.filter((F.col("block") > above[-1]["block"]) | ((F.col("block") == above[-1]["block"]) & (F.col("at") > above[-1]["at"])))
+    if delimiter != " ":
+        lines = whole_records(lines, delimiter)
     if comment:
         lines = lines.filter(~F.startswith("value", F.lit(comment)))
     lines = lines.filter(F.trim("value") != "")
@@ -112,7 +172,7 @@ def read_table(spark: SparkSession, path: str, delimiter: str, header_row: int,
     if delimiter == " ":
         cells = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
         return lines.select(cells.alias("cells")).select(*(F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
-    layout = {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    layout = {"sep": delimiter, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     return lines.select(F.from_csv("value", ", ".join(f"{n} string" for n in names), layout).alias("row")).select("row.*")
 
 
