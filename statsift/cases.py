@@ -510,3 +510,90 @@ cases("c_manifest_headers", "F24: ordered headers of a manifest.", lambda v: F.a
 cases("c_manifest_mappings", "F24: mappings of a manifest.", lambda v: F.to_json(manifest.mapping_cell(v)), [("A1=effect_allele", '{"A1":"effect_allele"}'), ("x= |x=beta", '{"x":"beta"}'), ("y=", '{"y":"unknown"}'), ("", None)])
 cases("c_manifest_verdicts", "F24: verdicts of a manifest.", manifest.verdict_cell, [("ready", "READY"), ("Not Ready", "NOT_READY"), ("yes", "READY"), ("0", "NOT_READY"), ("other", None), ("", None)])
 cases("c_manifest_numbers", "F24: numbers of a manifest.", manifest.number_cell, [("1,234.5", 1234.5), ("x", None), ("", None), ("7", 7.0)], out="double")
+
+
+# --- whole texts ------------------------------------------------------------
+
+_DELIMITERS = ["\t", ",", ";", " ", "|"]
+#: Every seventh part's text has one word a line, and so no header.
+_WORDS_ALONE = 7
+
+
+def _part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small table for each part, below a few comments, with a delimiter that its key picks."""
+    k = F.col("p_partkey")
+    d = nth(k, _DELIMITERS, "string")
+    join = lambda *parts: F.call_function("concat_ws", d, *parts)
+    row = lambda i: join(F.concat(F.lit("rs"), k + i), (k % 22 + 1).cast("string"), (k * 10 + i).cast("string"), F.lit("A"), F.lit("G"), F.lit("0.05"), F.lit("0.5"))
+    head = join(*map(F.lit, ("SNP", "CHR", "BP", "A1", "A2", "BETA", "P")))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), row), "\n")
+    text = F.concat(F.repeat(F.lit("# note\n"), (k % 3).cast("int")), head, F.lit("\n"), lines, F.lit("\n"))
+    alone = F.concat(F.array_join(F.split("p_name", " "), "\n"), F.lit("\n"))
+    return table(spark, sf_dir, "part").select(k.alias("source_id"), F.when(k % _WORDS_ALONE == 0, alone).otherwise(text).alias("text"))
+
+
+_DELIMITER_SQL = "CASE p_partkey % 5 WHEN 0 THEN chr(9) WHEN 1 THEN ',' WHEN 2 THEN ';' WHEN 3 THEN ' ' ELSE '|' END"
+
+
+@query(f"SELECT p_partkey AS source_id, CAST(p_partkey % 3 AS INTEGER) AS header_row, {_DELIMITER_SQL} AS delimiter, 'SNP/CHR/BP/A1/A2/BETA/P' AS header FROM part WHERE p_partkey % {_WORDS_ALONE} <> 0")
+def c_detected_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header, delimiter and place of every part's table."""
+    return header.headers_of_texts(_part_texts(spark, sf_dir)).select("source_id", "header_row", "delimiter", F.array_join("header", "/").alias("header"))
+
+
+@query(f"SELECT p_partkey AS source_id, 'header_not_found' AS category FROM part WHERE p_partkey % {_WORDS_ALONE} = 0")
+def c_no_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9: texts in which no line can be a header, as failure rows."""
+    texts = _part_texts(spark, sf_dir)
+    return header.header_failures(header.explode_lines(texts), header.headers_of_texts(texts))
+
+
+@query(f"SELECT p_partkey AS source_id, CAST(i AS INTEGER) AS line_idx, '# note' AS line FROM part, generate_series(0, 1) g(i) WHERE i < p_partkey % 3 AND p_partkey % {_WORDS_ALONE} <> 0")
+def c_preambles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines above every header."""
+    texts = _part_texts(spark, sf_dir)
+    return header.preamble(header.explode_lines(texts), header.headers_of_texts(texts))
+
+
+@query(f"""SELECT p_partkey AS source_id, CAST(i - 1 AS INTEGER) AS row_idx, 'rs' || (p_partkey + i) || '/' || (p_partkey % 22 + 1) || '/' || (p_partkey * 10 + i) || '/A/G/0.05/0.5' AS cells
+    FROM part, generate_series(1, 12) g(i) WHERE p_partkey % {_WORDS_ALONE} <> 0""")
+def c_sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows below every header."""
+    rows = header.tables_of_texts(_part_texts(spark, sf_dir)).select("source_id", F.posexplode("rows").alias("row_idx", "cells"))
+    return rows.select("source_id", "row_idx", F.array_join("cells", "/").alias("cells"))
+
+
+@query(f"SELECT p_partkey AS source_id, true AS data_table FROM part WHERE p_partkey % {_WORDS_ALONE} <> 0")
+def c_data_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what was found is a table of data."""
+    tables = header.tables_of_texts(_part_texts(spark, sf_dir))
+    rows = tables.select("source_id", F.posexplode("rows").alias("row_idx", "cells"))
+    return header.is_data_table(tables.drop("rows"), mapping.map_columns(mapping.explode_header(tables)), rows)
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING' ORDER BY c_custkey % 1000 DESC, c_custkey LIMIT 25""")
+def c_search_with_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best studies of those with summary statistics, without a trait."""
+    k = F.col("c_custkey")
+    studies = table(spark, sf_dir, "customer").select(
+        k.alias("position"), F.col("c_mktsegment").alias("trait"), F.when(k % 2 == 0, True).when(k % 3 == 0, False).alias("has_sumstats"),
+        (k % 1000).alias("n_total"), F.lit(None).cast("long").alias("n_cases"), F.lit(None).cast("long").alias("n_controls"), F.array().cast("array<string>").alias("ancestries"),
+    )
+    return discovery.search(studies, excludes=["build"], sumstats_only=True).select(F.col("position").alias("c_custkey"))
+
+
+@query(f"""WITH c AS (SELECT c_custkey, (c_custkey % 4) + 1 AS n, c_custkey % 10 AS a FROM customer)
+    SELECT c_custkey AS source_id, string_agg(line, '; ' ORDER BY line) AS findings FROM (
+        SELECT c_custkey, 'both alleles are the same in ' || n || ' of 5 rows' AS line FROM c UNION ALL
+        SELECT c_custkey, CASE WHEN a < 5 THEN 'cases and controls add up to the sample size in all 5 rows' ELSE 'cases and controls miss the sample size by over 1% in 5 of 5 rows' END FROM c) GROUP BY c_custkey""")
+def c_cross_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the columns of every customer's rows say of each other."""
+    k = F.col("c_custkey")
+    concepts = ["other_allele", "effect_allele", "cases", "controls", "sample_size"]
+    customers = table(spark, sf_dir, "customer").select(k.alias("source_id"))
+    i = F.col("row_idx")
+    total = F.when(F.col("source_id") % 10 < 5, 300).otherwise(200)
+    rows = customers.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("row_idx")).select("source_id", "row_idx", F.array(F.lit("a "), F.when(i <= F.col("source_id") % 4, "A").otherwise("G"), F.lit("100"), F.lit("200"), total.cast("string")).alias("cells"))
+    mapped = customers.select("source_id", F.posexplode(F.array(*map(F.lit, concepts))).alias("ordinal", "concept")).withColumn("raw", F.col("concept"))
+    told = readiness.cross_findings(validation.cross_checks(mapped, rows))
+    return told.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list("warning")), "; ").alias("findings"))

@@ -193,9 +193,9 @@ def score_candidates(lines: DataFrame, vocabulary: Vocabulary | None = None) ->
 
 
 def confidence(best: Column, runner_up: Column) -> Column:
-    """How sure a winner is, from its score and its lead."""
+    """How sure a winner is, from its score and its lead; one that stands alone leads by all."""
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    return F.round(0.7 * clip(best / 14) + 0.3 * F.coalesce(clip((best - runner_up) / 4), F.lit(1.0)), 4)
+    return F.round(0.7 * clip(best / 14) + 0.3 * F.when(runner_up.isNull(), 1.0).otherwise(clip((best - runner_up) / 4)), 4)
 
 
 def _winners(arrays: DataFrame, vocabulary: Vocabulary | None, keep: tuple[str, ...] = ()) -> DataFrame:
