@@ -31,7 +31,7 @@ class Fake:
                 return 500, {}, b""
             page, size, old = int(query["page"][0]), int(query["size"][0]), parts.path.startswith("/v1")
             made = [{"accessionId": f"GCST{100 + i}", "fullPvalueSet": i % 3 == 0} if old else {"accession_id": f"GCST{i}", "full_summary_stats_available": True} for i in range(page * size, min(page * size + size, 150))]
-            return 200, {}, json.dumps({"_embedded": {"studies": made}}).encode()
+            return 200, {}, json.dumps({"_embedded": {"studies": made}, "page": {"totalPages": -(-150 // size)}}).encode()
         last = parts.path.rsplit("/", 1)[-1]
         if parts.path.startswith("/v2/studies") and last == "GCST0001":
             return 200, {}, b'{"accession_id": "GCST0001", "disease_trait": "x"}'
@@ -74,7 +74,8 @@ def test_studies_by_accession(spark, made):
 
 
 def test_studies_by_trait(spark, made):
-    assert catalogue.studies_by_trait(spark, "x", made, limit=130).select("accession").distinct().count() == 130
+    got = catalogue.studies_by_trait(spark, "x", made, limit=130).collect()
+    assert [r["accession"] for r in got] == [f"GCST{i}" for i in range(130)]  # in the route's order, over its pages
     old = catalogue.studies_by_trait(spark, "broken", made, limit=20, sumstats_only=True).collect()
     assert len(old) == 20 and all(r["has_sumstats"] for r in old)  # 20 of 150 need more than one page where the route cannot filter
 
