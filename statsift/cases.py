@@ -206,7 +206,7 @@ def c_best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- populations and samples ------------------------------------------------
 
-cases("c_populations", "F14: categories of terms and texts.", ancestry.normalised, [("European", "European"), ("caucasian", "European"), ("EAS", "East Asian"), ("South   Asian", "South Asian"), ("some african american people", "African American or Afro-Caribbean"), ("Sub-Saharan African", "Sub-Saharan African"), ("not a population", None), ("", None), ("Maori", "Oceanian"), ("unknown", "NR")])
+cases("c_populations", "F14: categories of terms and texts.", ancestry.normalised, [("European", "European"), ("caucasian", "European"), ("EAS", "East Asian"), ("South   Asian", "South Asian"), ("some african american people", "African American or Afro-Caribbean"), ("Sub-Saharan African", "Sub-Saharan African"), ("quartz mining", None), ("", None), ("Maori", "Oceanian"), ("unknown", "NR")])
 _MATCHES = [("European", ["european"], 1.0), ("European", ["European", "East Asian"], 0.75), ("European", ["East Asian"], 0.0), ("European", [], 0.4), ("European", ["not reported"], 0.4), ("NR", ["NR"], 1.0), ("Martian", ["mostly martian people"], 0.6), ("Martian", ["European"], 0.0), ("European", ["gibberish"], 0.0), ("East Asian", ["Other admixed ancestry"], 0.0), ("European", ["European", "NR"], 1.0), ("", ["European"], 1.0)]
 _ASKED, _GROUPS, _SCORES = zip(*((a, "|".join(g), s) for a, g, s in _MATCHES))
 
@@ -223,8 +223,8 @@ def c_population_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 cases("c_population_filter", "P3: the score of each study for a population.", lambda v: ancestry.match_score(F.lit("eas"), F.split(v, r"\|"))["score"], [("Chinese", 1.0), ("Japanese|European", 0.75), ("European", 0.0), ("NR", 0.4)], out="double")
 cases("c_population_summary", "F16: labels of groups.", lambda v: ancestry.summary(F.split(v, r"\|")), [("european|caucasian", "European"), ("European|EAS", "European, East Asian"), ("European|EAS|SAS", "European +2 more"), ("", "unknown"), ("Klingon", "Klingon")])
 _DESCRIBED = [
-    ("14,131 European ancestry cases, 317,623 European ancestry controls", "14131|317623|331754|0.855"), ("n=62,000", "||62000|0.85"), ("n=5000 typed on 700 variants", "|||"), ("n=5000 people, not more; then 900 variants", "||5000|0.85"),
-    ("500 variants in cases", "|||"), ("1,000 UK cases, 2,000 Finnish cases", "3000|||"), ("cases: 12; controls = 30", "12|30|42|0.855"), ("nothing", "|||"), ("1,500 twins", "||1500|0.85"),
+    ("8,204 South Asian ancestry cases, 51,377 South Asian ancestry controls", "8204|51377|59581|0.855"), ("n=62,000", "||62000|0.85"), ("n=5000 typed on 700 variants", "|||"), ("n=5000 people, not more; then 900 variants", "||5000|0.85"),
+    ("500 variants in cases", "|||"), ("310 Danish cases, 1,240 Dutch cases", "1550|||"), ("cases: 12; controls = 30", "12|30|42|0.855"), ("nothing", "|||"), ("1,500 twins", "||1500|0.85"),
 ]
 
 

@@ -11,7 +11,7 @@ PACKED_SUFFIXES = (".gz", ".bgz", ".zip", ".bz2", ".xz", ".zst", ".tar")
 SHEET_SUFFIXES = (".xlsx", ".xls")
 OTHER_SUFFIXES = ("-meta.yaml", ".yaml", ".yml", ".json", ".pdf", ".png", ".jpg", ".jpeg", ".html", ".htm", ".md5", ".xlsx", ".doc", ".docx", ".r", ".py", ".log")
 OTHER_NAMES = ("md5sum.txt", "readme.txt", "readme.md", "readme", "license", "checksums.txt")
-#: Hosts that serve the same paths over https.
+# Hosts that serve the same paths over https.
 MIRRORED_HOSTS = ("ebi.ac.uk", "ncbi.nlm.nih.gov", "nih.gov", "sanger.ac.uk")
 
 

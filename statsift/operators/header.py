@@ -154,6 +154,7 @@ def scored_lines(lines: Column, vocabulary: Vocabulary | None = None) -> Column:
             data = F.size(F.filter(following, lambda x: x["data_like"]))
 
             def total(m: Column) -> Column:
+                # The weights of the score.
                 sum_of = (
                     m["share"] * 6
                     + F.least(F.size(F.call_function("filter", names, hinted)), F.lit(8)) * 0.45

@@ -43,7 +43,7 @@ def test_urls(spark):
 @pytest.mark.parametrize(
     ("text", "cases", "controls", "total"),
     [
-        ("14,131 European ancestry cases, 12,041 European ancestry controls", 14131, 12041, 26172),
+        ("7,310 Japanese ancestry cases, 9,005 Japanese ancestry controls", 7310, 9005, 16315),
         ("1,000 European ancestry individuals", None, None, 1000),
         ("500 variants in 20 genes", None, None, None),
         ("100 cases, 100 cases, 50 Asian cases", 150, None, None),
