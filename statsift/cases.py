@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from statsift.functions import cells, manifest, names
 from statsift.operators import ancestry, catalog, discovery, evaluate, header, mapping, payload, readiness, resolver, samples, validation
 from statsift.queries import QUERIES, SQL, query, table
+from statsift.sources.kept import spread
 
 Value = str | int | float | bool | list | None
 
@@ -529,7 +530,8 @@ def _part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), row), "\n")
     text = F.concat(F.repeat(F.lit("# note\n"), (k % 3).cast("int")), head, F.lit("\n"), lines, F.lit("\n"))
     alone = F.concat(F.array_join(F.split("p_name", " "), "\n"), F.lit("\n"))
-    return table(spark, sf_dir, "part").select(k.alias("source_id"), F.when(k % _WORDS_ALONE == 0, alone).otherwise(text).alias("text"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")  # a part's text takes long to go through
+    return parts.select(k.alias("source_id"), F.when(k % _WORDS_ALONE == 0, alone).otherwise(text).alias("text"))
 
 
 _DELIMITER_SQL = "CASE p_partkey % 5 WHEN 0 THEN chr(9) WHEN 1 THEN ',' WHEN 2 THEN ';' WHEN 3 THEN ' ' ELSE '|' END"

@@ -61,7 +61,8 @@ def normalised_name(name: Column) -> Column:
     Compatibility forms, marks and case are folded as ``folding.fold`` says; punctuation and
     white space fold to single underscores."""
     plain = fold(F.regexp_replace(F.coalesce(name, F.lit("")), "\ufeff", ""))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, FOLDED, "_"), "_+", "_"), "^_|_$", "")
+    folded = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, FOLDED, "_"), "_+", "_"), "^_|_$", "")
+    return F.when(name.rlike(r"\A[A-Za-z0-9]+(?:[._:\-][A-Za-z0-9]+)*\z"), F.translate(F.lower(name), ".:-", "___")).otherwise(folded)  # most cells, and quicker
 
 
 def parse_count(text: Column) -> Column:

@@ -138,7 +138,9 @@ def scored_lines(lines: Column, vocabulary: Vocabulary | None = None) -> Column:
     suffixes = "|".join(r[0] for r in vocabulary.suffix_rules)
     parts = "|".join(r[0] for r in vocabulary.contains_rules)
     # lists of names as SQL: an expression of hundreds of literals takes seconds to put together piece by piece
-    mapped = F.expr(f"x -> x <> '' AND (x IN ({known}) OR x RLIKE '({suffixes})$|{parts}' OR regexp_replace(x, '^{STRIPPED_PREFIX}', '') IN ({known}))")
+    least = min((len(r[0]) for r in (*vocabulary.suffix_rules, *vocabulary.contains_rules)), default=0)  # a shorter name fits no rule
+    by_rule = f"length(x) >= {least} AND x RLIKE '({suffixes})$|{parts}'"
+    mapped = F.expr(f"x -> x <> '' AND (x IN ({known}) OR {by_rule} OR startswith(x, '{STRIPPED_PREFIX}') AND regexp_replace(x, '^{STRIPPED_PREFIX}', '') IN ({known}))")
     hinted = F.expr(f"x -> x IN ({_sql_list(list(HINTS))})")
 
     def score(r: Column, info: Column, i: Column, d: Column) -> Column:

@@ -20,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt over all tasks by their key.
+
+    For rows that take far longer than they are large: a small file is one split, and so one task, whatever its rows cost."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: its requests are sent once, also if an executor is lost later."""
     path = f"{shared_folder(df.sparkSession)}/statsift/{name}-{uuid.uuid4().hex}"
