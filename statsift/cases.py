@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from statsift.functions import cells, manifest, names
 from statsift.operators import ancestry, catalog, discovery, evaluate, header, mapping, payload, readiness, resolver, samples, validation
 from statsift.queries import QUERIES, SQL, query, table
-from statsift.sources.kept import spread
+from statsift.sources.kept import keep, spread
 
 Value = str | int | float | bool | list | None
 
@@ -568,7 +568,7 @@ def c_sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT p_partkey AS source_id, true AS data_table FROM part WHERE p_partkey % {_WORDS_ALONE} <> 0")
 def c_data_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether what was found is a table of data."""
-    tables = header.tables_of_texts(_part_texts(spark, sf_dir))
+    tables = keep(header.tables_of_texts(_part_texts(spark, sf_dir)), "headers")  # read three times below
     rows = tables.select("source_id", F.posexplode("rows").alias("row_idx", "cells"))
     return header.is_data_table(tables.drop("rows"), mapping.map_columns(mapping.explode_header(tables)), rows)
 

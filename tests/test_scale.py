@@ -16,3 +16,7 @@ def test_plain_names_go_the_short_way(spark):
     names = ["SNP", "Effect-Allele", "p.value", "a:b", "a_b", "0.05", "a..b", "-a", "a-", "a\n", "Ａ1", "é", "", "A b"]
     got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(cells.normalised_name(F.col("n"))).collect()]
     assert got == ["snp", "effect_allele", "p_value", "a_b", "a_b", "0_05", "a_b", "a", "a", "a", folded("Ａ1"), "e", "", "a_b"]
+
+
+def test_data_tables_go_through_the_texts_once(spark):
+    assert all("/statsift/headers-" in f for f in cases.c_data_tables(spark, DATA).inputFiles())
