@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from statsift import cases
 from statsift.functions import cells
 from statsift.functions.folding import folded
+from statsift.operators import validation
 
 
 def test_texts_of_a_small_file_are_dealt_out(spark):
@@ -20,3 +21,11 @@ def test_plain_names_go_the_short_way(spark):
 
 def test_data_tables_go_through_the_texts_once(spark):
     assert all("/statsift/headers-" in f for f in cases.c_data_tables(spark, DATA).inputFiles())
+
+
+def test_many_places_are_not_sent_whole(spark, monkeypatch):
+    monkeypatch.setattr(validation, "SENT_WHOLE", 1)
+    got = cases.c_cross_findings(spark, DATA)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert got.count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
