@@ -31,7 +31,8 @@ def accession_block(accession: Column) -> Column:
     number = digits.try_cast("bigint")
     low = F.floor((number - 1) / 1000) * 1000 + 1
     width = F.greatest(F.length(digits), F.lit(6))
-    text = lambda n: F.lpad(n.cast("string"), width, F.lit("0"))
+    padded = lambda n: F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), width - F.length(n))), n)  # noqa: E731  (lpad would cut what is wider)
+    text = lambda n: padded(n.cast("string"))
     return F.when(digits != "", F.concat(F.lit("GCST"), text(low), F.lit("-GCST"), text(low + 999)))
 
 

@@ -4,7 +4,7 @@ from helpers import DATA
 from pyspark.sql import functions as F
 
 from statsift import cases
-from statsift.functions import cells
+from statsift.functions import cells, names
 from statsift.functions.folding import folded
 from statsift.operators import validation
 
@@ -29,3 +29,10 @@ def test_many_places_are_not_sent_whole(spark, monkeypatch):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert got.count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert all("/statsift/headers-" in f for f in cases.c_data_tables(spark, DATA).inputFiles())
+
+
+def test_accessions_may_be_wider_than_six_digits(spark):
+    rows = spark.createDataFrame([("GCST999500",), ("GCST1000000",), ("GCST1110001",), ("GCST000001",), ("GCST0999500",)], "a string")
+    got = [r[0] for r in rows.select(names.accession_block(F.col("a"))).collect()]
+    assert got == ["GCST999001-GCST1000000", "GCST999001-GCST1000000", "GCST1110001-GCST1111000", "GCST000001-GCST001000", "GCST0999001-GCST1000000"]
