@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from statsift import cases
 from statsift.functions import cells, names
 from statsift.functions.folding import folded
-from statsift.operators import validation
+from statsift.operators import charsets, validation
 
 
 def test_texts_of_a_small_file_are_dealt_out(spark):
@@ -35,4 +35,10 @@ def test_many_places_are_not_sent_whole(spark, monkeypatch):
 def test_accessions_may_be_wider_than_six_digits(spark):
     rows = spark.createDataFrame([("GCST999500",), ("GCST1000000",), ("GCST1110001",), ("GCST000001",), ("GCST0999500",)], "a string")
     got = [r[0] for r in rows.select(names.accession_block(F.col("a"))).collect()]
-    assert got == ["GCST999001-GCST1000000", "GCST999001-GCST1000000", "GCST1110001-GCST1111000", "GCST000001-GCST001000", "GCST0999001-GCST1000000"]
+    assert got == ["GCST999001-GCST1000000", "GCST0999001-GCST1000000", "GCST1110001-GCST1111000", "GCST000001-GCST001000", "GCST0999001-GCST1000000"]
+
+
+def test_of_character_sets_with_the_same_text_the_first_listed_stays():
+    same = "äôúý ôý äú".encode("cp1252")
+    assert max(charsets.scores(same))[1] == "cp1250" and charsets.guess(same)[0] == "cp1252"
+    assert charsets.guess("příliš žluťoučký kůň".encode("cp1250"))[0] == "cp1250"
