@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statsift.functions.cells import as_flag, as_int, blank_to_null, year_of
 from statsift.operators.payload import parse_yaml
+from statsift.sources.kept import spread
 
 #: Fields that a standard-format file must have, in order.
 MANDATORY = ("chromosome", "base_pair_location", "effect_allele", "other_allele", "beta", "standard_error", "effect_allele_frequency", "p_value")
@@ -48,6 +49,7 @@ def discovery_n(ancestries: Column) -> Column:
 
 def sidecars(texts: DataFrame, text: str = "text") -> DataFrame:
     """Sidecar fields; sample numbers add up over the samples, 0 and nothing are NULL."""
+    texts = spread(texts, "source_id")  # YAML takes long for its size
     s = F.from_json(parse_yaml(F.col(text)), _SIDECAR)
     total = lambda name: F.nullif(F.aggregate(F.transform("s.samples", lambda x: F.coalesce(as_int(x[name]), F.lit(0))), F.lit(0).cast("bigint"), lambda x, y: x + y), F.lit(0).cast("bigint"))
     return texts.select("source_id", s.alias("s")).select(

@@ -298,9 +298,11 @@ def parse_yaml(text: pd.Series) -> pd.Series:
 
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # the same rules, by libyaml where it is there
+
     def one(x: str | None) -> str | None:
         try:
-            return json.dumps(yaml.safe_load(x or ""), default=str)
+            return json.dumps(yaml.load(x or "", loader), default=str)
         except yaml.YAMLError:
             return None
 
