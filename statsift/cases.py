@@ -342,7 +342,8 @@ _HEADERS = f"""spelled(i, raw, n, concept, method, confidence) AS (VALUES {", ".
 def _part_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header for each part, of names that its key picks."""
     step = F.col("p_partkey") * 7 + (F.col("o") % (5 + F.col("p_partkey") % 5)) * (5 + F.col("p_partkey") % 11)  # most headers have a name twice
-    places = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(_WIDTH - 1))).alias("o"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")  # a row becomes many, which are sorted in their task
+    places = parts.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(_WIDTH - 1))).alias("o"))
     return places.select(F.col("p_partkey").alias("source_id"), F.col("o").alias("ordinal"), nth(step, [r for r, *_ in _SPELLED], "string").alias("raw"))
 
 

@@ -40,5 +40,13 @@ def test_accessions_may_be_wider_than_six_digits(spark):
 
 def test_of_character_sets_with_the_same_text_the_first_listed_stays():
     same = "äôúý ôý äú".encode("cp1252")
-    assert max(charsets.scores(same))[1] == "cp1250" and charsets.guess(same)[0] == "cp1252"
+    assert max(charsets.scores(same), key=lambda s: s[0])[1] == "cp1250" and charsets.guess(same)[0] == "cp1252"
     assert charsets.guess("příliš žluťoučký kůň".encode("cp1250"))[0] == "cp1250"
+
+
+def test_sidecars_are_dealt_out(spark):
+    assert cases.c_sidecars(spark, DATA).rdd.getNumPartitions() > 1
+
+
+def test_headers_of_parts_are_dealt_out(spark):
+    assert cases._part_headers(spark, DATA).rdd.getNumPartitions() > 1
