@@ -117,7 +117,7 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = 0, id_col
     Sequences hold ``width`` tokens at most and are padded at their end.  The
     documents are encoded when this is called; the pieces are a written table."""
     rows = c.pick(docs, doc_id=id_col, text=text_col)
-    pieces = c.cut(rows.mapInArrow(c.per_batch(_pieces, path=path, width=width, end_id=end_id), PIECES), "pieces")
+    pieces = c.cut(rows.mapInArrow(c.per_batch(_pieces, remembers=True, path=path, width=width, end_id=end_id), PIECES), "pieces")
     parts = F.when(F.col("length") == width, WHOLE_PARTS).otherwise(PARTS)
     part = F.pmod(F.xxhash64("doc_id", "start"), parts)
     counts = pieces.groupBy("length", part.alias("part")).agg(F.count("*").alias("n"))

@@ -87,6 +87,7 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray, bits: int = BUCKET_BITS, sm
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c.forget()
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             ids = batch.column("doc_id")

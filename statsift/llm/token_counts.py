@@ -72,7 +72,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     wanted = firsts.select(F.col("first.doc_id").alias("doc_id"), F.col("first.pick").alias("pick"), F.col("digest").alias("miss"))
     held = rows.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
     texts = held.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("pick"))).select(F.col("miss").alias("digest"), "text")
-    counted = texts.mapInArrow(c.per_batch(_count, path=path), "digest binary, n_tokens bigint")
+    counted = texts.mapInArrow(c.per_batch(_count, remembers=True, path=path), "digest binary, n_tokens bigint")
     counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # a row that occurs twice was encoded twice
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
 

@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from statsift.llm import _tokens, packing, token_counts, token_files, transducer
+from statsift.llm import _common, _tokens, packing, token_counts, token_files, transducer
 from statsift.llm._files import for_reading
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -205,3 +206,15 @@ def test_packing(odd, odd_rows, empty, vocab):
         want += [str((r[0], a, len(whole[a : a + 64]), zlib.crc32(whole[a : a + 64].tobytes()), len(whole))) for a in range(0, len(whole), 64)]
     assert sorted(str((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])) for r in got) == sorted(want)
     assert packing.pack(empty, path).count() == 0
+
+
+def test_a_worker_gives_the_tables_of_an_earlier_operator_back(vocab, monkeypatch):
+    monkeypatch.setattr(_tokens, "_encoders", {})
+    monkeypatch.setattr(_common, "remembered", [])
+    path = vocab(FILES[0])
+    batch = pa.table({"doc_id": [1], "text": ["some words"]}).to_batches()[0]
+    pieces = _common.per_batch(packing._pieces, remembers=True, path=path, width=8, end_id=0)
+    first, kept = list(pieces(iter([batch]))), _tokens.encoder(path)
+    assert list(pieces(iter([batch]))) == first and _tokens.encoder(path) is kept  # the same operator goes on with them
+    assert list(_common.per_batch(lambda b: b)(iter([batch]))) == [batch]
+    assert not _tokens._encoders and not _common.remembered
