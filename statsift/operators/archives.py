@@ -9,7 +9,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from statsift.sources.prefix import PROBE_BYTES, read_ranges
 
 #: Bytes at a file's end that hold its directory, as a rule, and of a directory that is read at most.
 TAIL_BYTES, MOST_DIRECTORY = 65_536, 8 << 20
+#: Bytes of files, or of what they hold, that a task has in Python at a time, besides the batch they came in.
+PIECE_BYTES = 4 << 20
 # Fixed values of the format: what its records begin with, and the sizes of those of fixed length.
 END, END64, AT64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 END_SIZE, AT64_SIZE, ENTRY_SIZE, LOCAL_SIZE = 22, 20, 46, 30
@@ -66,17 +69,39 @@ def directory_entries(data: bytes) -> list[tuple]:
     return out
 
 
+def member_table(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``MEMBERS``."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    named = [x.split() for x in MEMBERS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(named)], [name for name, _ in named])
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose ``column`` holds about ``most_bytes``; a larger value stands alone.
+
+    A batch has so many rows whatever they hold, and a part is all that is copied at a time."""
+    for batch in batches:
+        start, held = 0, 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > start and held + size > most_bytes:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def members(tails: DataFrame) -> DataFrame:
     """The member table of zip files: ``source_id, tail, size`` (bytes at the end, size of the file) to ``MEMBERS``.
 
     A file without an end record is a row with ``no_directory``; one whose directory begins before its
     tail has ``directory_at`` and no members, and goes through ``members_of_directories``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in pieces(batches, "tail"):
             rows = []
-            for source, tail, size in zip(frame["source_id"], frame["tail"], frame["size"]):
-                tail = bytes(tail or b"")
+            for source, tail, size in zip(*(frame.column(k).to_pylist() for k in ("source_id", "tail", "size"))):
+                tail = tail or b""
                 place = directory_place(tail, int(size)) if tail else None
                 base = int(size) - len(tail) if tail else 0
                 if place is None:
@@ -86,20 +111,20 @@ def members(tails: DataFrame) -> DataFrame:
                 else:
                     begin = place[0] - base
                     rows += [(source, place[0], None, i, *e) for i, e in enumerate(directory_entries(tail[begin : begin + place[1]]))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in MEMBERS.split(", ")]).astype(object)
+            yield member_table(rows)
 
-    return tails.select("source_id", "tail", F.col("size").cast("long").alias("size")).filter("size IS NOT NULL").mapInPandas(run, MEMBERS)
+    return tails.select("source_id", "tail", F.col("size").cast("long").alias("size")).filter("size IS NOT NULL").mapInArrow(run, MEMBERS)
 
 
 def members_of_directories(directories: DataFrame) -> DataFrame:
     """The member table of ``source_id, directory_at, content``, the directories themselves."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(s, at, None, i, *e) for s, at, data in zip(frame["source_id"], frame["directory_at"], frame["content"]) for i, e in enumerate(directory_entries(bytes(data or b"")))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in MEMBERS.split(", ")]).astype(object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "content"):
+            known = zip(*(part.column(k).to_pylist() for k in ("source_id", "directory_at", "content")))
+            yield member_table([(s, at, None, i, *e) for s, at, data in known for i, e in enumerate(directory_entries(data or b""))])
 
-    return directories.select("source_id", "directory_at", "content").mapInPandas(run, MEMBERS)
+    return directories.select("source_id", "directory_at", "content").mapInArrow(run, MEMBERS)
 
 
 def is_noise(name: Column) -> Column:
@@ -143,16 +168,25 @@ def member_start(data: bytes, most: int) -> tuple[bytes, str | None]:
 def member_prefixes(chunks: DataFrame, most: int = PROBE_BYTES) -> DataFrame:
     """``source_id, member, packed, content`` (bytes from a member's offset on) to ``source_id, member, data, category``."""
 
-    @F.pandas_udf("data binary, category string")
-    def inflated(content: pd.Series, packed: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data, length in zip(content, packed):
-            data = bytes(data or b"")
-            names = sum(struct.unpack_from("<HH", data, 26)) if len(data) >= LOCAL_SIZE else 0
-            rows.append(member_start(data[: LOCAL_SIZE + names + int(length)], most))  # the next member is not this one's
-        return pd.DataFrame(rows, columns=["data", "category"])
-
-    return chunks.select("source_id", "member", inflated("content", "packed").alias("read")).select("source_id", "member", "read.data", "read.category")
+    def one(data: bytes | None, length: int) -> tuple[bytes, str | None]:
+        data = data or b""
+        names = sum(struct.unpack_from("<HH", data, 26)) if len(data) >= LOCAL_SIZE else 0
+        return member_start(data[: LOCAL_SIZE + names + length], most)  # the next member is not this one's
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "content"):
+            rows, start, held = [], 0, 0
+            for i, (data, length) in enumerate(zip(part.column("content"), part.column("packed").to_pylist())):
+                rows.append(one(data.as_py(), length))
+                held += len(rows[-1][0])
+                if held > PIECE_BYTES or i + 1 == part.num_rows:  # a small member may hold much
+                    read = [pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.binary()), (1, pa.string()))]
+                    here = part.slice(start, len(rows))
+                    yield pa.RecordBatch.from_arrays([here.column("source_id"), here.column("member"), *read], ["source_id", "member", "data", "category"])
+                    rows, start, held = [], i + 1, 0
+
+    kinds = dict(chunks.dtypes)
+    return chunks.select("source_id", "member", "content", F.col("packed").cast("long").alias("packed")).mapInArrow(run, f"source_id {kinds['source_id']}, member string, data binary, category string")
 
 
 def read_zips(files: DataFrame, probe_bytes: int = PROBE_BYTES, tail_bytes: int = TAIL_BYTES, **transfer) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statsift.functions import cells, names
 from statsift.operators import ancestry, archives, catalog, discovery, evaluate, extract, header, mapping, payload, readiness, resolver, samples, validation
 from statsift.plans import triage
+from statsift.sources.kept import keep
 from statsift.vocabulary import CONTAINS_RULES, SUFFIX_RULES, Vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,21 +578,22 @@ def q34_zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     import io
     import zipfile
 
-    @F.pandas_udf("binary")
-    def packed(key: pd.Series, text: pd.Series) -> pd.Series:
-        def one(k: int, t: str) -> bytes:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("README.md", "about")
-                z.writestr(zipfile.ZipInfo("notes.pdf"), "x" * 2000)
-                z.writestr(f"results/data-{k}.tsv", t)
-                z.writestr("z.out", "later")
-            return out.getvalue()
-
-        return pd.Series([one(k, t) for k, t in zip(key, text)])
-
-    docs = table(spark, sf_dir, "documents")
-    zips = docs.select(F.col("doc_id").cast("string").alias("source_id"), packed("doc_id", F.coalesce("text", F.lit(""))).alias("zip"))
+    def one(k: int, t: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("README.md", "about")
+            z.writestr(zipfile.ZipInfo("notes.pdf"), "x" * 2000)
+            z.writestr(f"results/data-{k}.tsv", t)
+            z.writestr("z.out", "later")
+        return out.getvalue()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in archives.pieces(batches, "text"):
+            keys = part.column("doc_id").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys]), pa.array([one(k, t) for k, t in zip(keys, part.column("text").to_pylist())], pa.binary())], ["source_id", "zip"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    zips = keep(docs.mapInArrow(packed, "source_id string, zip binary"), "zips")  # read twice below
     size = F.octet_length("zip").cast("long")
     tails = zips.select("source_id", F.substring("zip", -archives.TAIL_BYTES, archives.TAIL_BYTES).alias("tail"), size.alias("size"))
     members = archives.members(tails)

@@ -1,12 +1,13 @@
 """Work that takes long for its size is dealt over all tasks; what is read several times is made once."""
 
+import pyarrow as pa
 from helpers import DATA
 from pyspark.sql import functions as F
 
 from statsift import cases
 from statsift.functions import cells, names
 from statsift.functions.folding import folded
-from statsift.operators import charsets, validation
+from statsift.operators import archives, charsets, validation
 
 
 def test_texts_of_a_small_file_are_dealt_out(spark):
@@ -50,3 +51,9 @@ def test_sidecars_are_dealt_out(spark):
 
 def test_headers_of_parts_are_dealt_out(spark):
     assert cases._part_headers(spark, DATA).rdd.getNumPartitions() > 1
+
+
+def test_files_are_copied_a_few_bytes_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([b"x" * 40, None, b"y" * 70, b"z" * 300, b"", b"w" * 10])], ["k", "content"])
+    parts = list(archives.pieces(iter([batch, batch.slice(0, 0)]), "content", 100))
+    assert [p.column("k").to_pylist() for p in parts] == [[0, 1], [2], [3], [4, 5]]
