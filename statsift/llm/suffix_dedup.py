@@ -49,7 +49,9 @@ MOST_LENGTH = ANCHOR + 126
 #: Bits of a place in a buffer, below the hash that decides an anchor.
 PLACE = 26
 #: Windows of a longer text are cut into segments a part at a time.
-PART = 1 << 24
+PART = 1 << 20
+#: Bytes of short texts that are gone through at once; the arrays over them take some sixty times as much.
+JOINED = 1 << 19
 #: ``packed``: start, 24 bits of the text's hash, windows of the segment.
 SEGMENTS = "anchor long, segment long, doc_id long, packed long, again boolean"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -102,7 +104,7 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     i = 0
     while i < len(parts):
         j, held = i, 0
-        while j < len(parts) and (j == i or held + len(parts[j][2]) <= 1 << 22):
+        while j < len(parts) and (j == i or held + len(parts[j][2]) <= JOINED):
             held += len(parts[j][2])
             j += 1
         joined = b"".join(p[2] for p in parts[i:j])
@@ -351,14 +353,19 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 
 def _single_windows(batch: pa.RecordBatch, length: int) -> pa.Table:
     """Every window of a segment as a segment of its own, keyed by its 128-bit digest."""
-    keys, rows, places = [], [], []
-    for k, (packed, data) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("data").to_pylist())):
-        for i in range(len(data) - length + 1):
-            keys.append(xxhash.xxh3_128_digest(data[i : i + length]))
-            rows.append(k)
-            places.append((packed & ~0x7F) + (i << 31) + 1)
-    both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-    return pa.table({"anchor": both[:, 0].copy(), "segment": both[:, 1].copy(), "doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "packed": pa.array(places, pa.int64()), "again": pa.array([False] * len(rows))})
+    digests, rows, places = [], [], []
+    at = 0
+    for part in c.slices(batch, "data", 1 << 18):
+        keys = []
+        for k, (packed, data) in enumerate(zip(part.column("packed").to_pylist(), part.column("data").to_pylist()), at):
+            n = len(data) - length + 1
+            keys += [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]
+            rows.append(np.full(n, k))
+            places.append((packed & ~0x7F) + (np.arange(n) << 31) + 1)
+        digests.append(np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2))
+        at += part.num_rows
+    both, which = np.concatenate(digests), np.concatenate(rows)
+    return pa.table({"anchor": both[:, 0].copy(), "segment": both[:, 1].copy(), "doc_id": batch.column("doc_id").take(pa.array(which)), "packed": np.concatenate(places), "again": np.zeros(len(which), bool)})
 
 
 def _mark_repeats(rows: DataFrame) -> DataFrame:

@@ -130,3 +130,17 @@ def test_a_very_long_text(spark):
     half = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
     got = s.dedup(spark.createDataFrame([(1, half + half), (2, "short")], "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in got} == {1: (2_000_000, 1_000_000), 2: (5, 0)}
+
+
+def test_texts_are_cut_into_segments_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    short = [rng.integers(97, 123, 4096).astype(np.uint8).tobytes() for _ in range(1024)]
+    for texts in (short, [b"".join(short)]):
+        tracemalloc.start()
+        found = s.segments(texts, 100)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        windows = sum(len(t) - 99 for t in texts)
+        assert found[2].sum() == windows and peak < 25 * windows
