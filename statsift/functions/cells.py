@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ MISSING_CELLS = ("", ".", "-", "na", "nan", "n/a", "#na", "null", "none", "nd",
 MISSING_IN_HEADERS = ("na", "nan", "n/a", "#na", ".", "-", "null", "none", "")
 # Fixed value: a plain number.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Fixed value: what counts as a number in a header.
+NUMBER_IN_HEADERS = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?(e[+-]?\d+)?|\.\d+(_\d+)*(e[+-]?\d+)?|nan|inf|infinity)$"
 # Fixed value: characters that fold to one underscore in a column name.
 FOLDED = r"""[\s\x1c-\x1f\x{85}\x{1680}\x{2028}\x{2029}\-\.:;,/\\|()\[\]{}'"`+*#@!?%^&=<>~$]+"""
 WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
@@ -33,13 +37,13 @@ def looks_like_missing(value: Column) -> Column:
 
 
 def is_numeric_cell(value: Column) -> Column:
-    """A number written plainly and not a missing marker."""
-    return ~looks_like_missing(value) & trimmed(value).rlike(NUMBER)
+    """A number written plainly and not a missing marker, none of which has a digit."""
+    return trimmed(value).rlike(NUMBER)
 
 
 def reads_as_number(value: Column) -> Column:
     """What counts as a number in a header: also ``nan`` and ``inf``."""
-    return F.coalesce(trimmed(value).rlike(r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?(e[+-]?\d+)?|\.\d+(_\d+)*(e[+-]?\d+)?|nan|inf|infinity)$"), F.lit(False))
+    return F.coalesce(trimmed(value).rlike(NUMBER_IN_HEADERS), F.lit(False))
 
 
 def finite(value: Column) -> Column:
@@ -48,10 +52,12 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(number) < F.lit(float("inf")), number)  # the pattern lets no NaN through, but 1e999
 
 
-def is_data_row(cells: Column, least: float = 0.4) -> Column:
-    """At least ``least`` of the cells that are not blank are numeric."""
-    filled = F.filter(cells, lambda v: trimmed(v) != "")
-    numeric = F.filter(filled, is_numeric_cell)
+def is_data_row(cells: Column, least: float = 0.4, bare: Callable[[Column], Column] = trimmed) -> Column:
+    """At least ``least`` of the cells that are not blank are numeric.
+
+    ``bare``: a cell without white space at its ends, where that takes less than to trim it."""
+    filled = F.filter(cells, lambda v: bare(v) != "")
+    numeric = F.filter(filled, lambda v: bare(v).rlike(NUMBER))
     return F.coalesce(F.try_divide(F.size(numeric), F.size(filled)) >= least, F.lit(False))
 
 

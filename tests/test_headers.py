@@ -117,3 +117,14 @@ def test_winners_by_lines_and_by_texts(texts):
     close = {s: (w[0], w[1]) for s, w in want.items()}
     assert by_lines == by_texts and {s: g[:2] for s, g in by_texts.items()} == close
     assert {s: (by_texts[s][2], w[2]) for s, w in want.items() if abs(by_texts[s][2] - w[2]) > 2e-4} == {}
+
+
+def test_candidates_go_without_cells_and_the_winner_has_its_own(spark):
+    text = "# note\n\xa0SNP CHR BP P\xa0\n" + "rs1 1 5 0.5\xa0\n" * 6
+    lines = spark.createDataFrame([("a", text)], "source_id string, text string").select("source_id", header.numbered(header.physical_lines(F.col("text"))).alias("lines"))
+    bare = lines.select(F.inline(header.scored_lines(F.col("lines"), cells=False)))
+    whole = lines.select(F.inline(header.scored_lines(F.col("lines"))))
+    assert "cells" not in bare.columns and sorted(bare.collect()) == sorted(whole.drop("cells").collect())
+    assert {r["delimiter"] for r in bare.collect()} == {" "}
+    gaps = lines.select("source_id", F.inline("lines")).withColumn("line_idx", F.col("line_idx") * 3)
+    assert [(r["header_row"], r["header"]) for r in header.detect_headers(gaps).collect()] == [(3, ["SNP", "CHR", "BP", "P"])]
