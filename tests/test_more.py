@@ -74,3 +74,12 @@ def test_command_line(spark, tmp_path, capsys):
     main(["extract", str(tmp_path / "a.tsv"), str(tmp_path / "clean"), "--rename"])
     table = spark.read.csv(str(tmp_path / "clean"), header=True, sep="\t")
     assert table.columns[:2] == ["variant_id", "chromosome"] and table.count() == 9
+
+
+def test_only_the_columns_that_are_asked_for_are_validated(spark, monkeypatch):
+    from helpers import DATA
+
+    from statsift import cases
+
+    monkeypatch.setattr(cases.validation, "validate", lambda mapped, cells: mapped)
+    assert {r["concept"] for r in cases._validated(spark, DATA).select("concept").distinct().collect()} == {"p_value", "chromosome"}
