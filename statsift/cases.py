@@ -333,6 +333,8 @@ _SPELLED = [
     ("chromosome_position_reference_allele_other_allele_b37", "chromosome_position_reference_allele_other_allele_b37", "variant_id", "alias", 0.95), ("hazard_ratio_adj", "hazard_ratio_adj", "hazard_ratio", "heuristic", 0.78), ("standard_error_gc", "standard_error_gc", "standard_error", "heuristic", 0.8),
     ("-log10_p_value", "log10_p_value", "neg_log10_p_value", "alias", 0.95), ("ＣＨＲ", "chr", "chromosome", "alias", 0.95),
 ]
+#: Parts whose headers one task sorts, about, at most.
+PARTS_A_TASK = 50_000
 #: Columns of a part's header, and how a part and a place pick a name.
 _WIDTH = 9
 _STEP = "(p_partkey * 7 + (o % (5 + p_partkey % 5)) * (5 + p_partkey % 11))"
@@ -343,7 +345,7 @@ _HEADERS = f"""spelled(i, raw, n, concept, method, confidence) AS (VALUES {", ".
 def _part_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header for each part, of names that its key picks."""
     step = F.col("p_partkey") * 7 + (F.col("o") % (5 + F.col("p_partkey") % 5)) * (5 + F.col("p_partkey") % 11)  # most headers have a name twice
-    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")  # a row becomes many, which are sorted in their task
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", PARTS_A_TASK)  # a row becomes many, which are sorted in their task
     places = parts.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(_WIDTH - 1))).alias("o"))
     return places.select(F.col("p_partkey").alias("source_id"), F.col("o").alias("ordinal"), nth(step, [r for r, *_ in _SPELLED], "string").alias("raw"))
 
