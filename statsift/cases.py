@@ -433,7 +433,8 @@ def c_value_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts from declared fields."""
     fields = ["variant_id,effect_allele,other_allele,beta,p_value", "variant_id,effect_allele,other_allele,beta", "beta"]
-    declared = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), F.split(nth(F.col("p_partkey"), fields, "string"), ",").alias("fields"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", PARTS_A_TASK)
+    declared = parts.select(F.col("p_partkey").alias("source_id"), F.split(nth(F.col("p_partkey"), fields, "string"), ",").alias("fields"))
     return readiness.assess_declared(declared).select("source_id", "verdict")
 
 

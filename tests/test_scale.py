@@ -66,7 +66,7 @@ def test_more_parts_are_dealt_over_more_tasks(spark, monkeypatch):
     assert cases._part_headers(spark, DATA).rdd.getNumPartitions() == -(-parts // 7) > 8
 
 
-@pytest.mark.parametrize("query", [cases.c_requirements, cases.c_verdicts])
+@pytest.mark.parametrize("query", [cases.c_requirements, cases.c_verdicts, cases.c_declared])
 def test_what_a_source_has_stays_in_its_task(spark, query):
     plan = query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(p_partkey" in plan and "Exchange hashpartitioning(source_id" not in plan
