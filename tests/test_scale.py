@@ -46,6 +46,13 @@ def test_of_character_sets_with_the_same_text_the_first_listed_stays():
     assert charsets.guess("příliš žluťoučký kůň".encode("cp1250"))[0] == "cp1250"
 
 
+def test_accented_letters_in_a_row_are_no_characters_of_two_bytes():
+    for text in ("Adoado éréréoi en. Leeux avec.\nthe end\n", "Chtiontre eux lesairéréé de vieau le dans oiou pour."):
+        assert charsets.guess(text.encode("cp1252"))[0] == "cp1252", text
+    for text in ("これは日本語の文章です。", "染色体\t位置\tp値", "漢字"):
+        assert charsets.guess(text.encode("cp932"))[0] == "cp932"
+
+
 def test_sidecars_are_dealt_out(spark):
     assert cases.c_sidecars(spark, DATA).rdd.getNumPartitions() > 1
 
