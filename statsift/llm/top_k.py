@@ -155,7 +155,8 @@ def packed_blocks(rows: DataFrame, n: int, size: int, width: int) -> DataFrame:
                 nth += 1
 
     order = [F.desc("length2"), F.asc("vec_id"), F.asc("uid")]
-    return rows.repartitionByRange(-(-n // size), *order).sortWithinPartitions(*order).mapInArrow(pack, PACKED)
+    parts = min(-(-n // size), BANDS)  # the driver samples rows for each part: beyond so many, a part is several blocks
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(pack, PACKED)
 
 
 def unpacked(row: dict, basis: np.ndarray, width: int, of: str = "") -> Block:
@@ -180,8 +181,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, b
     queries = packed_blocks(known.filter("asks"), about["queries"], query_rows, width)
 
     # fixed sizes reach the driver: the length of each band's longest vector, and one block of the longest vectors
-    a_band = max(1, -(-n // (block_rows * BANDS)))
-    band = F.least(F.floor(F.col("part") / a_band), F.lit(BANDS - 1)).cast("int")
+    band = F.col("part")
     longest = {r["band"]: r["longest"] for r in candidates.groupBy(band.alias("band")).agg(F.max("longest").alias("longest")).collect()}
     top = known.orderBy(F.desc("length2"), "vec_id", "uid").limit(block_rows).select("uid", "vec_id", "v").toArrow()
     seed = tuple(top.column(name).to_numpy().astype(np.int64) for name in ("uid", "vec_id")) + (v.matrix(top.column("v").combine_chunks(), width).astype("<i4"),)
@@ -212,7 +212,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, b
     begun = c.cut(queries.mapInArrow(begin, "q_uids binary, q_ids binary, q_v binary, q_floor binary, bands array<int>, stripe int"), "query-blocks")
     asked = begun.select("q_uids", "q_ids", "q_v", "q_floor", "stripe", F.explode("bands").alias("band"))
     offered = candidates.select("uids", "ids", "v", band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    found = asked.join(offered, ["band", "stripe"]).mapInArrow(meet, FOUND)
+    # never sent to the driver: a block of queries is as many rows as it has bands, of which the planner's sizes know nothing
+    found = asked.join(offered.hint("merge"), ["band", "stripe"]).mapInArrow(meet, FOUND)
     best = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     own = lambda name: F.nullif(F.col(name), F.lit(int(NO_ID))).alias(name)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(own("query_id"), "rank", own("vec_id"), "score", "query_uid")

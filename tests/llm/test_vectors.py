@@ -117,6 +117,17 @@ def test_search_by_stripes_and_bands(spark, monkeypatch):
     assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == loop_search(rows, 5, 64, 3)
 
 
+def test_no_blocks_are_sent_to_the_driver(spark, monkeypatch):
+    """Query blocks times their bands are not broadcast, however small their file is, and the parts that the driver samples for are bounded."""
+    monkeypatch.setattr(top_k, "BANDS", 3)
+    parts = []
+    packed = top_k.packed_blocks
+    monkeypatch.setattr(top_k, "packed_blocks", lambda *a: (lambda out: (parts.append(out.rdd.getNumPartitions()), out)[1])(packed(*a)))
+    out = top_k.search(frame(spark, vectors(400, 24, 5)), F.col("vec_id") % 3 == 0, k=5, scale=64, block_rows=30, query_rows=10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and max(parts) <= 3
+
+
 def test_bounds_drop_pairs_and_lose_none():
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(3000, 64)) * np.linspace(60, 1, 64) * rng.exponential(size=(3000, 1))).astype(np.int64)
